@@ -1,0 +1,34 @@
+"""DuckDB twins of the corpus queries that SQL can express on whole tables."""
+
+from __future__ import annotations
+
+_WORDS9 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP9 = f"""
+WITH item AS (
+  SELECT item_id, {_WORDS9} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), pattern AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS p
+  FROM (SELECT item_id, w, least(8, len(w)) AS k, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS9} AS w FROM documents
+), hit AS (
+  SELECT DISTINCT r, i, k, item_id
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0) AS at
+  JOIN pattern ON len(w) - i + 1 >= k AND array_to_string(w[i:i + k - 1], ' ') = p AND k = 8
+  UNION
+  SELECT DISTINCT r, i, k, item_id
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0) AS at
+  JOIN (SELECT * FROM pattern WHERE k < 8) ON len(w) - i + 1 >= k AND array_to_string(w[i:i + k - 1], ' ') = p
+), word AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+  FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM doc LEFT JOIN word USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES = {"op9_decontaminate": OP9}
