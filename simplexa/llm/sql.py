@@ -14,11 +14,11 @@ WITH item AS (
   SELECT row_number() OVER () AS r, doc_id, {_WORDS9} AS w FROM documents
 ), hit AS (
   SELECT DISTINCT r, i, k, item_id
-  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0) AS at
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0) AS pos
   JOIN pattern ON len(w) - i + 1 >= k AND array_to_string(w[i:i + k - 1], ' ') = p AND k = 8
   UNION
   SELECT DISTINCT r, i, k, item_id
-  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0) AS at
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM doc WHERE len(w) > 0) AS pos
   JOIN (SELECT * FROM pattern WHERE k < 8) ON len(w) - i + 1 >= k AND array_to_string(w[i:i + k - 1], ' ') = p
 ), word AS (
   SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) GROUP BY r
