@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplexa.llm import bpe, decontaminate, lines, minhash, sql, substring, suffix, warc
-from simplexa.llm.common import table
+from simplexa.llm import bpe, compress, decontaminate, lines, minhash, rules, sql, substring, suffix, warc
+from simplexa.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = rules.measures(table(spark, sf_dir, "documents"))
+    measured = materialise(measured, "measures")
+    chosen = rules.cutoffs(measured, table(spark, sf_dir, "labels"))
+    return rules.apply_rules(measured, chosen).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
@@ -51,6 +58,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compress.score(docs, compress.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
