@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplexa.llm import bpe, compress, decontaminate, lines, minhash, rules, sql, substring, suffix, warc
+from simplexa.llm import bpe, compress, decontaminate, lines, minhash, pii, rules, sql, substring, suffix, warc
 from simplexa.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the deployment's secret, read from the session where it is set."""
+    key = spark.conf.get("spark.simplexa.pii.key", "development key")
+    return pii.replace(table(spark, sf_dir, "documents"), key).select("doc_id", "n_entities", F.col("replaced").alias("text"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
