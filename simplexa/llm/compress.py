@@ -7,8 +7,9 @@ probability. Held-out rows (crc32 of the id's digits, modulo 5, is 0) are not fi
 ids, sources and languages are no inputs of the score.
 
 The fit reads a bounded sample: at most ``MAX_FIT`` labelled rows of each class (by
-hash of the id), of each at most ``FIT_BYTES`` bytes; the model is two dictionaries of
-``DICT_BYTES`` and two numbers. Scoring is one narrow pass over whole texts.
+hash of the id). Half of them lend their beginnings to the dictionaries, which hold
+``DICT_BYTES`` each; the curve is fitted on the evidence of the other half's whole texts.
+Scoring is one narrow pass over whole texts.
 
 Defined results: null and empty texts get the training set's share of good rows; with a
 class missing from the labels every score is that share (0.5 without labels); repeated rows
@@ -27,9 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import by_id
+from simplexa.llm.common import by_id, materialise
 
-MAX_FIT, FIT_BYTES, DICT_BYTES, BLOCK, LEVEL = 1500, 4096, 112 << 10, 2048, 3
+MAX_FIT, DICT_BYTES, BLOCK, LEVEL = 1500, 112 << 10, 2048, 3
 CUTOFF = 0.3
 
 
@@ -90,25 +91,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(max_fit) for q in (0, 1)]
     wanted = picked[0].unionByName(picked[1])  # at most 2 * max_fit rows
-    text = F.expr(f"substr(cast(text as binary), 1, {FIT_BYTES})")
-    found = by_id(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min(text).alias("t")).where("length(t) > 0")
-    rows = sorted((r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.quality, bytes(r.t)) for r in found.collect())
-    sides = [[t for _, q, t in rows if q == side] for side in (1, 0)]
-    if min(map(len, sides)) < 4:
+    found = by_id(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).where("text != ''")
+    found = materialise(found.withColumn("lends", F.xxhash64("doc_id", F.lit(12)) % 2 == 0), "labelled")
+    piece = [max(256, 3 * DICT_BYTES // max(1, min(n, max_fit))) for n in (total - good, good)]  # what each lending text gives, from its beginning
+    lent = found.where("lends").select("doc_id", "quality", F.expr(f"substr(cast(text as binary), 1, if(quality = 1, {piece[1]}, {piece[0]}))").alias("t")).collect()
+    rows = sorted((r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.quality, bytes(r.t)) for r in lent)
+    dicts = [b"\n".join(t for _, q, t in rows if q == side)[:DICT_BYTES] for side in (1, 0)]
+    if not all(dicts):
         return Model(b"", b"", share, 0.0, 0.0)
-    dicts, rest = [], []
-    for side in sides:
-        piece = max(256, 2 * DICT_BYTES // len(side))  # every second text lends its beginning
-        dicts.append(b"\n".join(t[:piece] for t in side[::2])[:DICT_BYTES])
-        rest.append(side[1::2])
-    scorer = Scorer(Model(*dicts, share, 0.0, 0.0))
-    x = np.array([scorer.evidence(t) for side in rest for t in side])
-    y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
+    seen = found.where("not lends").select("quality", "text").mapInArrow(_evidence(Model(*dicts, share, 0.0, 0.0)), "quality int, x double").collect()
+    x, y = np.array([r.x for r in seen]), np.array([float(r.quality) for r in seen])
+    if len(set(y.tolist())) < 2:
+        return Model(b"", b"", share, 0.0, 0.0)
+    order = np.lexsort((y, x))  # sums don't hang on the order of arrival
+    x, y = x[order], y[order]
     slope, shift = _calibrate(x, y)
-    shift += math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(len(rest[0]) / len(rest[1]))  # back to the shares of all labels
+    shift += math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(y.sum() / (len(y) - y.sum()))  # back to the shares of all labels
     return Model(*dicts, share, slope, shift)
 
 
+def _evidence(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            x = [scorer.evidence(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["quality", "x"])
+
+    return run
+
+
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
