@@ -30,6 +30,9 @@ _BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _pow: dict[str, np.ndarray] = {}
 
+#: Spark's setting that deletes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a temporary one of this machine where none is named (tests)."""
@@ -55,13 +58,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. The
-    table is deleted when the driver's Python ends.
+    shuffle files of the write go as soon as it has ended. The table is deleted
+    by ``discard`` or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/simplexa/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` from which nothing is still to be read."""
+    for x in tables:
+        _delete(x.sparkSession, x.scratch_path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

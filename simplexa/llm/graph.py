@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import materialise
+from simplexa.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(now)
+        now = after
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == mark:
             break

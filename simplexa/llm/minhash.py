@@ -6,10 +6,13 @@ documents with one shingle set form a class. ``permutations`` hash evaluations g
 candidate search. With 80 permutations and bands of 4, a pair at the threshold is
 missed with probability (1 - 0.75**4)**40 < 3e-7.
 
-No group is expanded into pairs: in each bucket the classes are first compared with
-one centre, components are formed from the confirmed links, and only then are the
-members outside a bucket's largest component compared with all of that bucket; pairs
-already in one component need no comparison. Links are confirmed on full sets.
+No group is expanded into pairs: in each round a class is compared with one centre
+of its buckets (that with the most alike signature), components grow by the confirmed links, and buckets of one component
+are closed. At the end the members outside a bucket's largest component are compared
+with all of that bucket; pairs already in one component need no comparison, and a pair
+whose signatures agree in far fewer places than at the threshold (5.5 standard deviations:
+a pair at the threshold is lost with probability below 1e-7) gets none. Links are
+confirmed on full sets.
 
 Defined results: a text without words has an empty set and no links; one with fewer
 words than five has the whole sequence as its one shingle; a null doc_id takes part
@@ -25,16 +28,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import LOWER, WHITE, Words, gram_hash, materialise, mix, text_chunks
+from simplexa.llm.common import LOWER, WHITE, Words, discard, gram_hash, materialise, mix, text_chunks
 from simplexa.llm.graph import components
 from simplexa.llm.windows import numbered
 
 SHINGLE, PERCENT, PERMUTATIONS, ROWS_PER_BAND = 5, 75, 80, 4
 #: Star rounds before the exhaustive one, while that one would cost more than CROSS_FACTOR rows a posting.
-STARS, CROSS_FACTOR = 5, 4
+STARS, CROSS_FACTOR = 3, 4
+#: Bits kept of each signature value, and how far below the threshold a pair's agreement may lie to be confirmed.
+PLANES, DEVIATIONS = 4, 5.5
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -53,12 +58,13 @@ def _signatures(k: int, permutations: int, rows: int):
         add = rng.integers(1, 1 << 63, permutations, dtype=np.uint64)
         bands = 2 * permutations // rows
         for batch in batches:
-            n, c, keys = [], [], []
+            n, c, keys, bits = [], [], [], []
             for x in _sets(batch.column(2), k):
                 n.append(len(x))
                 c.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
                 if not len(x):
                     keys.append([])
+                    bits.append([])
                     continue
                 low, high = np.empty(permutations, np.uint64), np.empty(permutations, np.uint64)
                 for i in range(permutations):
@@ -68,11 +74,27 @@ def _signatures(k: int, permutations: int, rows: int):
                     low[i], high[i] = y.min(), y.max()
                 sig = np.concatenate((low, high))[: bands * rows].reshape(bands, rows)
                 keys.append(mix(gram_hash_rows(sig) + np.arange(bands, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "n", "c", "keys"])
+                bits.append(_planes(sig.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["row", "doc_id", "n", "c", "keys", "bits"])
 
     return run
 
 
+def _planes(sig: np.ndarray) -> np.ndarray:
+    """PLANES bits of each signature value, a plane of whole 64-bit words for each bit."""
+    wide = np.zeros((PLANES, -(-len(sig) // 64) * 64), np.uint8)
+    wide[:, : len(sig)] = mix(sig) >> np.arange(PLANES, dtype=np.uint64)[:, None] & np.uint64(1)
+    return np.packbits(wide, axis=1).view(np.int64).ravel()
+
+
+def _unlike(values: int, percent: int) -> tuple[Column, float]:
+    """How many signature values of ``bits`` and ``bits0`` differ, and the most: DEVIATIONS over the threshold's mean."""
+    words, chance = -(-values // 64), percent / 100 + (1 - percent / 100) / 2**PLANES
+    least = values * chance - DEVIATIONS * (values * chance * (1 - chance)) ** 0.5
+    differ = [" | ".join(f"(bits[{b * words + w}] ^ bits0[{b * words + w}])" for b in range(PLANES)) for w in range(words)]
+    return F.expr(" + ".join(f"bit_count({x})" for x in differ)), values - least
+
+
 def gram_hash_rows(sig: np.ndarray) -> np.ndarray:
     out = np.zeros(len(sig), np.uint64)
     for i in range(sig.shape[1]):
@@ -90,52 +112,81 @@ def _full(k: int):
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    pairs = materialise(pairs.distinct(), "pairs")
+    """Label pairs (la, lb) of those distinct pairs (a, b, la, lb) whose full sets are similar enough."""
+    pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     sets = materialise(rows.join(classes.join(nodes, "c").select("c", "row"), "row").select("c", "text").mapInArrow(_full(k), "c long, full array<long>"), "sets")
     left = sets.select(F.col("c").alias("a"), F.col("full").alias("x"))
     right = sets.select(F.col("c").alias("b"), F.col("full").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("total") - F.col("i"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("la", "lb", shared.alias("i"), (F.size("x") + F.size("y")).alias("total"))
+    links = materialise(both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("total") - F.col("i"))).select("la", "lb").distinct(), "links")
+    discard(pairs, sets)
+    return links
+
+
+def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after ``links`` between labels; only labels that meet another are walked."""
+    step = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    if found is None:
+        return materialise(step, "labels")
+    step = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = found.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = step.join(found.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+    out = materialise(old.unionByName(fresh), "labels")
+    discard(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, kept), a row a document."""
     rows = numbered(docs)
-    sig = materialise(rows.mapInArrow(_signatures(k, permutations, rows_per_band), "row long, doc_id long, n long, c long, keys array<long>"), "signatures")
-    classes = materialise(sig.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    posting = classes.select("c", "n", F.explode("keys").alias("k"))
-    crowded = posting.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
-    posting = materialise(posting.join(crowded, "k"), "postings")
+    sig = materialise(rows.mapInArrow(_signatures(k, permutations, rows_per_band), "row long, doc_id long, n long, c long, keys array<long>, bits array<long>"), "signatures")
+    classes = sig.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    classes = materialise(classes, "classes")
+    every = classes.select("c", "n", F.explode("keys").alias("k"))
+    crowded = every.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
+    posting = materialise(every.join(crowded, "k").join(classes.select("c", "bits"), "c"), "postings")
     close = F.lit(100) * F.least("n", "n0") >= F.lit(percent) * F.greatest("n", "n0")
+    unlike, most = _unlike(2 * permutations // rows_per_band * rows_per_band, percent)
+    alike = unlike <= most
     confirm = partial(_confirm, classes=classes, rows=rows, k=k, percent=percent)
-    links, found = None, None
-    for star in range(STARS):
+    found = None
+    for star in range(STARS + 1):
         labelled = posting.withColumn("label", F.col("c")) if found is None else posting.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        open_keys = labelled.groupBy("k").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("k")
-        labelled = materialise(labelled.join(open_keys, "k"), "open")
         if star:
+            open_keys = labelled.groupBy("k").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("k")
+            labelled = materialise(labelled.join(open_keys, "k"), "open")
             sizes = labelled.groupBy("k", "label").agg(F.count("*").alias("m")).groupBy("k").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top"))
             sizes = materialise(sizes.select("k", "all", F.col("top.m").alias("m"), F.col("top.label").alias("big")), "sizes")
             cost, base = sizes.agg(F.sum((F.col("all") - F.col("m")) * F.col("all")), F.sum("all")).first()
-            if not base:
-                break
-            if cost <= CROSS_FACTOR * base or star == STARS - 1:  # what is left, exhaustively
-                outside = labelled.join(sizes, "k").where("label != big").select("k", F.col("c").alias("c0"), F.col("n").alias("n0"), F.col("label").alias("label0"))
-                pairs = labelled.join(outside, "k").where(F.expr("label != label0") & close).select(F.least("c", "c0").alias("a"), F.greatest("c", "c0").alias("b"))
-                links = links.unionByName(confirm(pairs))
-                found = components(links)
+            last = cost is not None and (cost <= CROSS_FACTOR * base or star == STARS)
+            if last:  # what is left, exhaustively
+                outside = labelled.join(sizes, "k").where("label != big").select("k", F.col("c").alias("c0"), F.col("n").alias("n0"), F.col("label").alias("label0"), F.col("bits").alias("bits0"))
+                pairs = labelled.join(outside, "k").where(F.expr("label != label0") & close & alike)
+                links = confirm(pairs.select(*_ends()).distinct())
+                found = _merged(found, links)
+            discard(sizes)
+            if last or not base:
+                discard(labelled)
                 break
-        order = F.xxhash64("c", F.lit(star))
-        centre = labelled.groupBy("k").agg(F.min(F.struct(order.alias("o"), "c", "n", "label")).alias("z")).select("k", F.col("z.c").alias("c0"), F.col("z.n").alias("n0"), F.col("z.label").alias("label0"))
-        pairs = labelled.join(centre, "k").where(F.expr("label != label0") & close).select(F.least("c", "c0").alias("a"), F.greatest("c", "c0").alias("b"))
-        new = confirm(pairs)
-        links = materialise(new if links is None else links.unionByName(new), "links")
-        found = materialise(components(links), "labels")
+        # each class is compared with one centre of its buckets, that with the most alike signature
+        order = F.xxhash64("c", "k", F.lit(star))
+        centre = labelled.groupBy("k").agg(F.min(F.struct(order.alias("o"), "c", "n", "label", "bits")).alias("z")).select("k", F.col("z.c").alias("c0"), F.col("z.n").alias("n0"), F.col("z.label").alias("label0"), F.col("z.bits").alias("bits0"))
+        near = labelled.join(centre, "k").where(F.expr("label != label0") & close & alike)
+        chosen = near.groupBy("c", "label").agg(F.min(F.struct(unlike.alias("o"), "c0", "label0")).alias("z")).select("c", "label", "z.c0", "z.label0")
+        links = confirm(chosen.select(*_ends()).distinct())
+        found = _merged(found, links)
+        discard(links, *([labelled] if star else []))
+    discard(posting)
     owner = sig.select("row", "doc_id", "n", "c").join(found.withColumnRenamed("node", "c"), "c", "left")
     owner = owner.withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "c")))
     least = owner.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = owner.join(least, "group", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _ends() -> list:
+    """A pair of classes with its labels, the lesser class first."""
+    less = F.col("c") < F.col("c0")
+    return [F.least("c", "c0").alias("a"), F.greatest("c", "c0").alias("b"), F.when(less, F.col("label")).otherwise(F.col("label0")).alias("la"), F.when(less, F.col("label0")).otherwise(F.col("label")).alias("lb")]
