@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +71,25 @@ def distance(name: str, x: str, y: str, p: float = 2.0) -> Column:
             raise ValueError(f"unknown metric {name!r}")
         made = EXPRESSIONS[name]
     return F.expr(f"transform(array(struct({x} as x, {y} as y)), r -> transform(array(r.x), x -> transform(array(r.y), y -> {made})[0])[0])[0]")
+
+
+def _literal(values: Sequence[float]) -> str:
+    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
+
+
+def weighted_distance(name: str, x: str, y: str, parameter: Sequence, p: float = 2.0) -> Column:
+    """Distances with a parameter for each coordinate: ``seuclidean`` (variances), ``wminkowski`` (weights), ``mahalanobis`` (inverse covariance, by rows)."""
+    if name == "seuclidean":
+        made = f"sqrt({_sum('u / v', _OFF.format('u * u'), _literal(parameter))})"
+    elif name == "wminkowski":
+        made = f"pow({_sum('u * v', _OFF.format(f'pow(abs(u), {float(p)}D)'), _literal(parameter))}, 1 / {float(p)}D)"
+    elif name == "mahalanobis":
+        rows = f"transform(array({', '.join(map(_literal, parameter))}), r -> {_sum('u * v', 'r', 'd')})"
+        made = _let("d", _OFF.format("u"), f"sqrt({_sum('u * v', rows, 'd')})")
+    else:
+        raise ValueError(f"unknown metric {name!r}")
+    return F.expr(f"transform(array(struct({x} as x, {y} as y)), r -> transform(array(r.x), x -> transform(array(r.y), y -> {made})[0])[0])[0]")
+
+
+#: A function of each coordinate's difference u.
+_OFF = "transform(zip_with(x, y, (a, b) -> cast(a - b as double)), u -> {0})"
