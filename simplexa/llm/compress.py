@@ -7,13 +7,15 @@ probability. Held-out rows (crc32 of the id's digits, modulo 5, is 0) are not fi
 ids, sources and languages are no inputs of the score.
 
 The fit reads a bounded sample: at most ``MAX_FIT`` labelled rows of each class (by
-hash of the id). Half of them lend their beginnings to the dictionaries, which hold
-``DICT_BYTES`` each; the curve is fitted on the evidence of the other half's whole texts.
-Scoring is one narrow pass over whole texts.
+hash of the id). Half of them lend their whole texts: every block of every lending text is a
+sample that the class's dictionary of ``DICT_BYTES`` is trained on, in one task a class. The
+curve is fitted on the evidence of the other half's whole texts. Scoring is one narrow pass
+over whole texts.
 
 Defined results: null and empty texts get the training set's share of good rows; with a
 class missing from the labels every score is that share (0.5 without labels); repeated rows
-each get a row; ids that are null are not held out; other columns are ignored.
+each get a row; ids that are null are not held out; other columns are ignored; where a class
+has too few blocks to train on, both dictionaries are the lending texts as they are, uncut.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ class Model:
     share: float
     slope: float
     shift: float
+    lent: tuple[int, int] = (0, 0)  # rows whose blocks the good and the bad dictionary are made of
 
 
 class Scorer:
@@ -48,15 +51,14 @@ class Scorer:
         self.model = model
         self.sides = []
         for raw in (model.good, model.bad):
-            held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if raw else None
+            held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO) if raw else None
             if held is not None:
                 held.precompute_compress(level=LEVEL)
             self.sides.append(zstandard.ZstdCompressor(dict_data=held, level=LEVEL, write_content_size=False, write_dict_id=False) if held is not None else None)
 
     def evidence(self, text: bytes) -> float:
         good = bad = 0
-        for at in range(0, len(text), BLOCK):
-            block = text[at : at + BLOCK]
+        for block in blocks(text):
             good += len(self.sides[0].compress(block))
             bad += len(self.sides[1].compress(block))
         return (bad - good) / max(len(text), 1)
@@ -83,6 +85,28 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]) / scale, float(w[1])
 
 
+def _place(row) -> tuple[int, int]:
+    return row["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), row["doc_id"]
+
+
+def blocks(text: bytes) -> list[bytes]:
+    return [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
+
+
+def train(texts: list[bytes]) -> bytes:
+    """A dictionary trained on all blocks of the texts (no share of them set aside); empty where they are too few."""
+    samples = [b for t in texts for b in blocks(t)]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL, split_point=1.0, d=8, steps=4).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _train(lent: pa.Table) -> pa.Table:
+    rows = sorted(lent.select(["doc_id", "quality"]).append_column("t", lent["text"].cast(pa.binary())).to_pylist(), key=_place)
+    return pa.table({"quality": pa.array([rows[0]["quality"]], pa.int32()), "rows": pa.array([len(rows)], pa.int64()), "trained": pa.array([train([r["t"] for r in rows])], pa.binary())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out() & F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -93,12 +117,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     wanted = picked[0].unionByName(picked[1])  # at most 2 * max_fit rows
     found = by_id(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).where("text != ''")
     found = materialise(found.withColumn("lends", F.xxhash64("doc_id", F.lit(12)) % 2 == 0), "labelled")
-    piece = [max(256, 3 * DICT_BYTES // max(1, min(n, max_fit))) for n in (total - good, good)]  # what each lending text gives, from its beginning
-    lent = found.where("lends").select("doc_id", "quality", F.expr(f"substr(cast(text as binary), 1, if(quality = 1, {piece[1]}, {piece[0]}))").alias("t")).collect()
-    rows = sorted((r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.quality, bytes(r.t)) for r in lent)
-    dicts = [b"\n".join(t for _, q, t in rows if q == side)[:DICT_BYTES] for side in (1, 0)]
-    if not all(dicts):
+    made = {r.quality: r for r in found.where("lends").select("doc_id", "quality", "text").groupBy("quality").applyInArrow(_train, "quality int, rows long, trained binary").collect()}
+    if len(made) < 2:
         return Model(b"", b"", share, 0.0, 0.0)
+    if all(r.trained for r in made.values()):
+        dicts = [bytes(made[side].trained) for side in (1, 0)]
+    else:
+        lent = found.where("lends").select("doc_id", "quality", F.expr("cast(text as binary)").alias("t")).collect()
+        dicts = [b"\n".join(bytes(r.t) for r in sorted(lent, key=_place) if r.quality == side) for side in (1, 0)]
+    lends = (made[1].rows, made[0].rows)
     seen = found.where("not lends").select("quality", "text").mapInArrow(_evidence(Model(*dicts, share, 0.0, 0.0)), "quality int, x double").collect()
     x, y = np.array([r.x for r in seen]), np.array([float(r.quality) for r in seen])
     if len(set(y.tolist())) < 2:
@@ -107,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     x, y = x[order], y[order]
     slope, shift = _calibrate(x, y)
     shift += math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(y.sum() / (len(y) - y.sum()))  # back to the shares of all labels
-    return Model(*dicts, share, slope, shift)
+    return Model(*dicts, share, slope, shift, lends)
 
 
 def _evidence(model: Model):

@@ -47,6 +47,21 @@ def test_classifier(spark):
     assert compress.score(df, compress.fit(df.limit(0), df.select("doc_id", "quality").limit(0))).where("score = 0.5").count() == df.count()
 
 
+def test_classifier_learns_from_whole_texts(spark):
+    r = random.Random(3)
+    good = ["the", "river", "of", "stone", "and", "light", "house", "was", "walking"]
+    junk = ["click", "casino", "cheap", "winner", "bonus", "jackpot", "voucher", "refund"]
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    made = [(i, say(good, 1500) + " " + say(good if i % 2 else junk, 400), i % 2) for i in range(400)]  # all alike for the first 6,000 bytes
+    df = spark.createDataFrame(made, "doc_id long, text string, quality int")
+    model = compress.fit(df, df.select("doc_id", "quality"))
+    assert b"jackpot" in model.bad and b"jackpot" not in model.good
+    got = compress.score(df, model).join(df.select("doc_id", "quality"), "doc_id").where("held_out").collect()
+    assert len(got) > 40 and sum((x.score >= 0.5) == bool(x.quality) for x in got) / len(got) >= 0.95
+    lends = [i for (i,) in df.where(~compress.held_out() & (F.xxhash64("doc_id", F.lit(12)) % 2 == 0)).select("doc_id").collect()]
+    assert model.lent == (sum(i % 2 for i in lends), sum(1 - i % 2 for i in lends))
+
+
 def test_rules(spark):
     df = rows(spark)
     m = rules.measures(df)
