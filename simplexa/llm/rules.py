@@ -1,16 +1,19 @@
 """Quality rules whose cutoffs are chosen under a guarantee of few false rejections.
 
 Base measures are taken of whole texts. Each rule rejects a document whose measure is
-above a cutoff. Labelled good rows (quality 1) are the holdout: for each stratum (the
-language) and each cutoff of a fixed grid, the exact (Clopper-Pearson) upper bound of
-the share of good rows above the cutoff, at level 1 - DELTA / (number of tests),
-must be at most RISK / (number of rules): by Bonferroni over rules, strata and cutoffs,
-with probability 1 - DELTA no stratum loses more than RISK of its good documents to the
-rules. The least such cutoff is taken; a stratum with too few labels keeps all.
-
-Counts are made in Spark over all labelled rows; what reaches the driver is one count
-for each stratum, rule and grid point. A stratum of under MIN_GOOD good rows can't pass a
-test, so only larger ones are collected.
+above a cutoff. Labelled good rows (quality 1) are the holdout: in each stratum (the
+language) the steps of ``PATH`` tighten one rule after another, so that each rule set rejects
+what the one before it does. They are tested in that order, fixed beforehand, as whole sets:
+the exact (Clopper-Pearson) upper bound of the share of good rows that any rule of the set
+rejects, at level DELTA / (number of strata), must be at most RISK; the first failure ends the
+sequence. That needs no division by its length: with probability 1 - DELTA all sets that passed,
+in all strata, lose at most RISK of the good documents. Of these the loosest is taken that
+rejects as many labelled bad rows (quality 0) as the strictest does; the strictest itself where
+the stratum has no labelled bad rows.
+
+A stratum with fewer good rows than a test without any false rejection needs (``needed``; the
+number of strata counts those that have enough) keeps all. Counts are made in Spark over all
+labelled rows; what reaches the driver is two counts for each stratum and step.
 
 Defined results: null text has no words and fails the base; null languages are a
 stratum of their own; repeated rows each get a row; labels repeated for an id count once.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RISK, DELTA, MIN_GOOD = 0.03, 0.05, 200
+RISK, DELTA = 0.03, 0.05
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -40,6 +43,10 @@ RULES = {
     "long_words": "100.0 * least(word_chars / greatest(n_words, 1) / 50.0, 1)",
 }
 GRID = [0.5, 1, 2, 3, 5, 8, 12, 16, 20, 30, 40, 50, 60, 70, 80, 90]
+#: Cutoffs in common use (a tenth symbols, 30 % repeated lines, 15 % repeated words, mean word length 3 and 10).
+USUAL = {"symbols": 10, "dup_lines": 30, "repeats": 15, "short_words": 70, "long_words": 20}
+#: (rule, cutoff) from loose to strict, by the share of the way from 100 to the usual cutoff; no data is asked.
+PATH = sorted(((name, g) for name in RULES for g in GRID), key=lambda x: ((100 - x[1]) / (100 - USUAL[x[0]]), list(RULES).index(x[0])))
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -97,21 +104,32 @@ def upper_bound(bad: int, n: int, level: float) -> float:
     return high
 
 
+def needed(risk: float, level: float) -> int:
+    """The least number of good rows at which none rejected proves ``risk`` at ``level``."""
+    return max(1, math.ceil(math.log(level) / math.log1p(-risk) - 1e-9))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) -> the least cutoff that keeps the guarantee; without an entry the rule rejects nothing."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = measured.where("not base_failed").join(good, "doc_id", "left_semi")
-    counts = [F.sum((F.expr(rule) > g).cast("long")).alias(f"{name}_{i}") for name, rule in RULES.items() for i, g in enumerate(GRID)]
-    rows = held.groupBy("lang").agg(F.count("*").alias("good"), *counts).where(F.col("good") >= MIN_GOOD).collect()
-    tests = max(1, len(rows) * len(RULES) * len(GRID))
+    """(stratum, rule) -> its cutoff in the rule set that is taken; without an entry the rule rejects nothing."""
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    held = measured.where("not base_failed").join(known, "doc_id")
+    at = {step: i for i, step in enumerate(PATH)}
+    hits = [f"case {' '.join(f'when {rule} > {g} then {at[name, g]}' for g in sorted(GRID, reverse=True))} else {len(PATH)} end" for name, rule in RULES.items()]
+    held = held.select("lang", "quality", F.expr(f"least({', '.join(hits)})").alias("step"))  # the first step that rejects the row
+    counts = [F.sum(((F.col("quality") == q) & (F.col("step") <= i)).cast("long")).alias(f"{name}_{i}") for q, name in ((1, "lost"), (0, "caught")) for i in range(len(PATH))]
+    rows = held.groupBy("lang").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"), *counts).where(F.col("good") >= needed(risk, delta)).collect()
+    rows.sort(key=lambda r: -r["good"])
+    while rows and rows[-1]["good"] < needed(risk, delta / len(rows)):
+        least = rows[-1]["good"]
+        rows = [r for r in rows if r["good"] > least]
     out = {}
     for r in rows:
-        for name in RULES:
-            for i, g in enumerate(GRID):
-                bad = r[f"{name}_{i}"]
-                if bad <= r["good"] * risk / len(RULES) and upper_bound(bad, r["good"], delta / tests) <= risk / len(RULES):
-                    out[r["lang"], name] = float(g)
-                    break
+        passed = 0
+        while passed < len(PATH) and r[f"lost_{passed}"] <= r["good"] * risk and upper_bound(r[f"lost_{passed}"], r["good"], delta / len(rows)) <= risk:
+            passed += 1
+        while passed and r["bad"] and r[f"caught_{passed - 1}"] == (r[f"caught_{passed - 2}"] if passed > 1 else 0):
+            passed -= 1
+        out.update({(r["lang"], name): float(g) for name, g in PATH[:passed]})
     return out
 
 

@@ -70,3 +70,28 @@ def test_rules(spark):
     assert all(r.kept for r in got if r.quality and not r.base_failed)
     assert not any(r.kept for r in got if not r.quality and r.doc_id)
     assert rules.cutoffs(m, df.select("doc_id", "quality").limit(0)) == {}
+
+
+def test_rules_in_small_strata(spark):
+    r = random.Random(4)
+    words = [a + b for a in ("the", "river", "stone", "light", "house", "walk") for b in ("", "s", "ed", "ing", "er", "y")]  # no window repeats
+    made = []
+    for lang, n in (("en", 160), ("de", 150), ("es", 144), ("fr", 145), ("it", 100)):
+        for i in range(n + 20):
+            w = [r.choice(words) + ("$$" if i >= n else "") for _ in range(60)]
+            made.append((len(made), " ".join(w), lang, int(i < n)))
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, quality int")
+    m = rules.measures(df)
+    chosen = rules.cutoffs(m, df.select("doc_id", "quality"))
+    assert {lang for lang, _ in chosen} == {"en", "de", "es", "fr"}
+    got = rules.apply_rules(m, chosen).join(df.select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
+    for lang in ("en", "de", "es", "fr"):
+        good = [x.kept for x in got if x.lang == lang and x.quality]
+        assert rules.upper_bound(good.count(False), len(good), rules.DELTA / 4) <= rules.RISK
+        assert not any(x.kept for x in got if x.lang == lang and not x.quality)
+    assert all(x.kept for x in got if x.lang == "it")
+    seen = {}
+    for name, g in rules.PATH:  # each rule set holds the one before it
+        assert g < seen.get(name, 101)
+        seen[name] = g
+    assert len(rules.PATH) == len(rules.RULES) * len(rules.GRID)
