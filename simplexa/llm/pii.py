@@ -3,14 +3,15 @@
 Entities (e-mail and IPv4 addresses, telephone and card numbers, long hexadecimal
 secrets, names after a title) are found by patterns and replaced by what a keyed
 three-round Feistel network makes of them: characters at even and odd places are shifted in turn
-within their own alphabet (digits, vowels and consonants by case and script), by amounts that
+within their own alphabet (digits, vowels and consonants by case and script; every other letter
+or number within those of its script and case), by amounts that
 hang on the key, the kind, the entity's form and the other half, without regard to case.
 
 * The network is a bijection on the entities of one form and keeps the form, so different
   entities get different surrogates and equal ones the same, in all documents, without a table;
   ``collisions`` checks that on the data.
-* The odd half is shifted once, never by nought: where it has a character that can move,
-  no entity maps to itself.
+* The odd half is shifted once, never by nought; where it has no letter or number, the even half
+  is shifted once only. So no entity maps to itself.
 * A name keeps its title, script, case and last letter (which carries gender in many languages);
   an e-mail address keeps its domain, an IPv4 address stays four numbers of 0 to 255, a
   telephone number keeps its country code.
@@ -21,6 +22,9 @@ entities; an empty text is empty; repeated rows each get a row; other columns ar
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +40,73 @@ PATTERNS = {
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Mme|Herr|Frau|Señora|Señor|Sra|Sr|Dr|Господин|Госпожа)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
+_MORE = ["áéíóúàèìòùâêîôûäëïöüãõåæœø", "çñšžčřłśźćńğşđþð", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ", "ёйъьіїєґў"]
+ALPHABETS += [a for low in _MORE for a in (low, low.upper())]
 HEX_ALPHABETS = ["0123456789", "abcdef", "ABCDEF"]
+#: Column with the alphabets of all other letters and numbers.
+SCRIPTS = "scripts"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+_MOVES = r"[\p{L}\p{N}]"
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+@cache
+def scripts() -> tuple[tuple[int, int, int, int, int], ...]:
+    """(first, last, alphabet, place of the first, size of the alphabet): the runs of code points of every letter and number outside ``ALPHABETS``."""
+    listed = set("".join(ALPHABETS))
+    groups: dict[tuple[str, str], list[int]] = {}
+    for cp in range(0x80, 0x110000):
+        c = chr(cp)
+        kind = unicodedata.category(c)
+        if kind[0] not in "LN" or c in listed:
+            continue
+        script = unicodedata.name(c, "OTHER").split(" ")[0].split("-")[0]
+        up, low = c.upper(), c.lower()
+        if kind == "Ll" and len(up) == 1 and up != c and up.lower() == c and unicodedata.category(up) == "Lu" and up not in listed:
+            kind = "paired"  # its capital has the same place in an alphabet of capitals
+        elif kind == "Lu" and len(low) == 1 and low != c and low.upper() == c and unicodedata.category(low) == "Ll" and low not in listed:
+            continue
+        groups.setdefault((script, kind), []).append(cp)
+    lone = [key for key, cps in groups.items() if len(cps) == 1]
+    rest = groups.setdefault(("", "L"), [])
+    for key in lone:  # a lone letter can't move: it joins the others
+        cp = groups.pop(key)[0]
+        rest.extend([cp, ord(chr(cp).upper())] if key[1] == "paired" else [cp])
+    lists = [sorted(cps) for cps in groups.values()] + [[ord(chr(cp).upper()) for cp in sorted(cps)] for (_, kind), cps in groups.items() if kind == "paired"]
+    runs = []
+    for number, cps in enumerate(lists):
+        at = 0
+        for i in range(1, len(cps) + 1):
+            if i == len(cps) or cps[i] != cps[i - 1] + 1:
+                runs.append((cps[at], cps[i - 1], number, at, len(cps)))
+                at = i
+    return tuple(runs)
+
+
+def with_scripts(df: DataFrame) -> DataFrame:
+    held = "[" + ",".join('{"lo":%d,"hi":%d,"a":%d,"at":%d,"n":%d}' % r for r in scripts()) + "]"
+    return df.withColumn(SCRIPTS, F.from_json(F.lit(held), "array<struct<lo:int,hi:int,a:int,at:int,n:int>>"))
+
+
+def _elsewhere(c: str, amount: str) -> str:
+    """SQL for a letter or number outside the listed alphabets, shifted within its own."""
+    run = f"filter({SCRIPTS}, r -> ascii({c}) between r.lo and r.hi)[0]"
+    place = f"pmod(f.at + ascii({c}) - f.lo + 1 + pmod({amount}, f.n - 1), f.n)"
+    found = f"filter({SCRIPTS}, r -> r.a = f.a and t between r.at and r.at + r.hi - r.lo)[0]"
+    char = "decode(unhex(lpad(hex(g.lo + t - g.at), 8, '0')), 'UTF-32')"
+    return f"transform(array({run}), f -> if(f is null, {c}, transform(array({place}), t -> transform(array({found}), g -> {char})[0])[0]))[0]"
+
+
 def _shift(c: str, amount: str, alphabets: list[str]) -> str:
-    cases = " ".join(f"when instr('{a}', {c}) > 0 then substr('{a}', pmod(instr('{a}', {c}) - 1 + 1 + pmod({amount}, {len(a) - 1}), {len(a)}) + 1, 1)" for a in alphabets)
-    return f"case {cases} else {c} end"
+    cases = [f"when instr('{a}', {c}) > 0 then substr('{a}', pmod(instr('{a}', {c}) - 1 + 1 + pmod({amount}, {len(a) - 1}), {len(a)}) + 1, 1)" for a in alphabets]
+    plain = sum(a.isascii() for a in alphabets)  # these come first
+    cases.insert(plain, f"when ascii({c}) < 128 then {c}")
+    return f"case {' '.join(cases)} when {c} rlike {_quoted(_MOVES)} then {_elsewhere(c, amount)} else {c} end"
 
 
 def _network(text: str, tweak: str, alphabets: list[str]) -> str:
@@ -56,6 +116,8 @@ def _network(text: str, tweak: str, alphabets: list[str]) -> str:
         other = f"lower(array_join(filter(a{turn}, (c, i) -> i % 2 != {parity}), ''))"
         amount = "cast(conv(substr(h, (i % 60) * 2 + 1, 4), 16, 10) as int)"
         moved = f"transform(a{turn}, (c, i) -> if(i % 2 = {parity}, {_shift('c', amount, alphabets)}, c))"
+        if turn == 2:
+            moved = f"if({other} rlike {_quoted(_MOVES)}, {moved}, a{turn})"
         state = f"transform(array({state}), a{turn} -> transform(array(sha2(concat({tweak}, '|{turn}|', {other}), 512)), h -> {moved})[0])[0]"
     return f"array_join({state}, '')"
 
@@ -102,7 +164,7 @@ def entities(text: Column | str = "text") -> Column:
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_entities, found, surrogates, replaced), a row a document; ``replaced`` is the new text."""
-    out = by_id(docs).withColumn("found", entities()).withColumn("pieces", F.split("text", ANY, -1))
+    out = with_scripts(by_id(docs)).withColumn("found", entities()).withColumn("pieces", F.split("text", ANY, -1))
     out = out.withColumn("surrogates", F.when(F.size("found") == 0, F.array().cast("array<string>")).otherwise(F.expr(f"transform(found, e -> {surrogate('e', key)})")))
     replaced = F.when(F.size("found") == 0, F.col("text")).otherwise(F.expr("array_join(zip_with(pieces, surrogates, (p, s) -> concat(coalesce(p, ''), coalesce(s, ''))), '')"))
     return out.select("doc_id", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), "found", "surrogates", replaced.alias("replaced"))

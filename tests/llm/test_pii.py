@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 from simplexa.llm import pii
 
@@ -24,3 +25,28 @@ def test_distinct(spark):
     out = pii.replace(df, "k")
     assert pii.collisions(out).count() == 0
     assert pii.replace(df.limit(0), "k").count() == 0
+
+
+def test_every_script_moves(spark):
+    mails = ["王伟@example.com", "δημήτρης@example.gr", "محمد@example.com", "한국@example.kr", "ъь@example.ru", "éà@example.fr", "ñ@example.es", "ß@example.de", "٣@example.com", "𠀀@example.com", "ª@example.com", "½.@example.com"]
+    mails += [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [f"{c}{p}@example.org" for c in "aeiouxyz" for p in "._-+"]
+    names = ["Dr. Αθηνά", "Dr Γεωργίου", "Herr Öğüş", "Sra Ñúñez", "Mr Wu", "Dr Li", "Mme Œé", "Господин Ёъь", "Mr Ჯა"]
+    df = spark.createDataFrame([(i, f"-- {x} --") for i, x in enumerate([*mails, *names])], "doc_id long, text string")
+    for key in ("k", "m", "n"):
+        out = pii.replace(df, key)
+        got = out.collect()
+        assert [r.found for r in got] == [[x] for x in [*mails, *names]]
+        for r in got:
+            assert r.surrogates[0] != r.found[0] and len(r.surrogates[0]) == len(r.found[0])
+            assert r.replaced == f"-- {r.surrogates[0]} --"
+        assert pii.collisions(out).count() == 0
+        two = got[1].surrogates[0], got[0].surrogates[0]
+        assert all(unicodedata.name(c).startswith("GREEK") for c in two[0].split("@")[0]) and not set(two[1].split("@")[0]) & set("王伟")
+
+
+def test_scripts_are_whole():
+    listed = set("".join(pii.ALPHABETS))
+    held = [cp for lo, hi, *_ in pii.scripts() for cp in range(lo, hi + 1)]
+    assert len(held) == len(set(held)) and not listed & set(map(chr, held))
+    assert all(n > 1 for *_, n in pii.scripts())
+    assert {c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LN"} <= listed | set(map(chr, held))
