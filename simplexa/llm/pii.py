@@ -12,9 +12,13 @@ hang on the key, the kind, the entity's form and the other half, without regard
   ``collisions`` checks that on the data.
 * The odd half is shifted once, never by nought; where it has no letter or number, the even half
   is shifted once only. So no entity maps to itself.
-* A name keeps its title, script, case and last letter (which carries gender in many languages);
-  an e-mail address keeps its domain, an IPv4 address stays four numbers of 0 to 255, a
-  telephone number keeps its country code.
+* A name goes part by part, whatever its title, and each part keeps its script, case and last letter
+  (which carries gender in many languages), so that a part has one surrogate wherever it stands.
+  Later bare mentions of the parts of a document's names (same case, whole words, between entities)
+  get it too; ``n_entities`` and ``found`` hold entities only, without these mentions.
+* A telephone or card number goes by its digits, a telephone number's country code aside; code,
+  separators and brackets are put back, so that it has one surrogate in all its formats.
+* An e-mail address keeps its domain, an IPv4 address stays four numbers of 0 to 255.
 
 No shuffle; a text's pieces stay in its row. Defined results: null text stays null with no
 entities; an empty text is empty; repeated rows each get a row; other columns are ignored.
@@ -39,6 +43,8 @@ PATTERNS = {
     "secret": r"(?<![\p{L}\d])(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}(?![\p{L}\d])",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Mme|Herr|Frau|Señora|Señor|Sra|Sr|Dr|Господин|Госпожа)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
+#: Assigned country codes: one digit, two digits, else three.
+CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,2})[ .\-]?"
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
 _MORE = ["áéíóúàèìòùâêîôûäëïöüãõåæœø", "çñšžčřłśźćńğşđþð", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ", "ёйъьіїєґў"]
 ALPHABETS += [a for low in _MORE for a in (low, low.upper())]
@@ -49,6 +55,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 _MOVES = r"[\p{L}\p{N}]"
+_TOKENS = r"\p{L}+|[^\p{L}]+"
 
 
 def _quoted(s: str) -> str:
@@ -142,20 +149,31 @@ def surrogate(entity: str, key: str) -> str:
     q = _quoted(key)
 
     def tweaked(kind: str, kept: str, part: str, alphabets: list[str]) -> str:
-        form = f"regexp_replace({part}, '[0-9]', '9')" if kind in ("phone", "card") else f"cast(length({part}) as string)"
-        return _network(part, f"concat({q}, '|{kind}|', lower({kept}), '|', {form})", alphabets)
+        return _network(part, f"concat({q}, '|{kind}|', lower({kept}), '|', cast(length({part}) as string))", alphabets)
+
+    def digits(kind: str, part: str) -> str:
+        """The digits alone go through the network; all else stays in its place."""
+        moved = tweaked(kind, "''", "n", ALPHABETS[:1])
+        put = f"transform(split(s, ''), (c, i) -> if(c rlike '[0-9]', substr(d, length(regexp_replace(substr(s, 1, i + 1), '[^0-9]', '')), 1), c))"
+        return f"transform(array({part}), s -> transform(transform(array(regexp_replace(s, '[^0-9]', '')), n -> {moved}), d -> array_join({put}, ''))[0])[0]"
 
     local, domain = f"substring_index({entity}, '@', 1)", f"substr({entity}, instr({entity}, '@'))"
-    code = f"regexp_extract({entity}, '^(?:\\\\+[0-9]{{1,3}}[ .-]?)?', 0)"
+    code = f"regexp_extract({entity}, {_quoted(CODE)}, 0)"
     title = f"regexp_extract({entity}, '^[^ ]+ ', 0)"
-    body = f"substr({entity}, length({title}) + 1, length({entity}) - length({title}) - 1)"
+    names = f"array_join(transform(split(substr({entity}, length({title}) + 1), ' '), w -> {name_part('w', key)}), ' ')"
     return f"""case {kind_of(entity)}
       when 'email' then concat({tweaked('email', domain, local, ALPHABETS)}, {domain})
       when 'ip' then {_address(entity, q)}
-      when 'phone' then concat({code}, {tweaked('phone', code, f'substr({entity}, length({code}) + 1)', ALPHABETS)})
+      when 'phone' then concat({code}, {digits('phone', f'substr({entity}, length({code}) + 1)')})
       when 'secret' then {tweaked('secret', "''", entity, HEX_ALPHABETS)}
-      when 'name' then concat({title}, {tweaked('name', title, body, ALPHABETS)}, right({entity}, 1))
-      else {tweaked('card', "''", entity, ALPHABETS)} end"""
+      when 'name' then concat({title}, {names})
+      else {digits('card', entity)} end"""
+
+
+def name_part(word: str, key: str) -> str:
+    """SQL for the surrogate of one part of a name (of two letters or more); its last letter stays."""
+    tweak = f"concat({_quoted(key)}, '|name||', cast(length({word}) - 1 as string))"
+    return f"concat({_network(f'substr({word}, 1, length({word}) - 1)', tweak, ALPHABETS)}, right({word}, 1))"
 
 
 def entities(text: Column | str = "text") -> Column:
@@ -166,6 +184,12 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_entities, found, surrogates, replaced), a row a document; ``replaced`` is the new text."""
     out = with_scripts(by_id(docs)).withColumn("found", entities()).withColumn("pieces", F.split("text", ANY, -1))
     out = out.withColumn("surrogates", F.when(F.size("found") == 0, F.array().cast("array<string>")).otherwise(F.expr(f"transform(found, e -> {surrogate('e', key)})")))
+    # (first entity, word) of each part of a name; a word between entities that was named before goes the same way
+    name = _quoted("^(?:" + PATTERNS["name"] + ")$")
+    out = out.withColumn("named", F.expr(f"flatten(transform(found, (e, i) -> if(e rlike {name}, transform(slice(split(e, ' '), 2, 2), w -> named_struct('i', i, 'w', w)), array())))"))
+    token = f"if(exists(named, x -> x.i < i and x.w = t), {name_part('t', key)}, t)"
+    bare = f"array_join(transform(regexp_extract_all(p, {_quoted(_TOKENS)}, 0), t -> {token}), '')"
+    out = out.withColumn("pieces", F.when(F.size("named") > 0, F.expr(f"transform(pieces, (p, i) -> if(exists(named, x -> x.i < i and contains(p, x.w)), {bare}, p))")).otherwise(F.col("pieces")))
     replaced = F.when(F.size("found") == 0, F.col("text")).otherwise(F.expr("array_join(zip_with(pieces, surrogates, (p, s) -> concat(coalesce(p, ''), coalesce(s, ''))), '')"))
     return out.select("doc_id", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), "found", "surrogates", replaced.alias("replaced"))
 

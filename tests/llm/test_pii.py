@@ -50,3 +50,26 @@ def test_scripts_are_whole():
     assert len(held) == len(set(held)) and not listed & set(map(chr, held))
     assert all(n > 1 for *_, n in pii.scripts())
     assert {c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LN"} <= listed | set(map(chr, held))
+
+
+def test_one_person_one_surrogate(spark):
+    texts = [
+        "Smith saw Mr Smith and Mr. Smith, Dr Smith; Mr John Smith. Smith's dog: John, Smithson, smith",
+        "(013) 555-0024 or +1 (013) 555-0024 or +44 (013) 555-0024; 4785380592391139 or 4785 3805 9239 1139 or 4785-3805-9239-1139",
+        "+4915112345678 or +49 151 1234 5678",
+        "Smith",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, "k").collect()}
+    a = got[0].surrogates
+    smith, john = a[0].split(" ")[1], a[3].split(" ")[1]
+    assert smith != "Smith" and john != "John"
+    assert a == [f"Mr {smith}", f"Mr. {smith}", f"Dr {smith}", f"Mr {john} {smith}"]
+    assert got[0].replaced == f"Smith saw {a[0]} and {a[1]}, {a[2]}; {a[3]}. {smith}'s dog: {john}, Smithson, smith"
+    b = got[1].surrogates
+    assert b[1] == "+1 " + b[0] and b[2] == "+44 " + b[0] and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", b[0])
+    assert b[4] == " ".join(b[3][i : i + 4] for i in (0, 4, 8, 12)) and b[5] == b[4].replace(" ", "-")
+    c = got[2].surrogates
+    assert c[0] == c[1].replace(" ", "") and c[0].startswith("+49")
+    assert all(x != y for r in got.values() if r.found for x, y in zip(r.found, r.surrogates))
+    assert got[3].replaced == "Smith" and got[3].n_entities == 0
