@@ -56,11 +56,11 @@ def pack(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record that starts at ``at`` and where it ends; ValueError says what is wrong."""
+def parse(data: bytes, at: int = 0, most: int | None = None) -> tuple[dict, int]:
+    """The record that starts at ``at`` and where it ends, its header of ``most`` bytes at most; ValueError says what is wrong."""
     if not data.startswith(VERSION, at):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    end = data.find(b"\r\n\r\n", at, len(data) if most is None else at + most)
     if end < 0:
         raise ValueError("header does not end")
     head = {}
@@ -102,7 +102,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
             if end != len(raw):
                 raise ValueError("bytes after the record in its member")
             return head, min(fed, len(data)) - len(z.unused_data)
-        return parse(data, i)
+        return parse(data, i, 1 << 20)  # in plain archives nothing else bounds the search
 
     while at < len(data):
         try:
@@ -150,22 +150,23 @@ def _writer(folder: str, archive_bytes: int):
     return run
 
 
-def _reader(folder: str):
+def _reader(folder: str, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         names = [x.split(" ")[0] for x in RECORDS.split(", ")]
         schema = pa.schema([(x.split(" ")[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split(" ")[1]]) for x in RECORDS.split(", ")])
         bare = lambda x: x[len("<urn:page:") : -1] if x and x.startswith("<urn:page:") else x
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
+            for archive, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{root}/{archive}", compression=None) as f:
                     data = f.read()
                 out: list[tuple] = []
-                weight = 0
+                weight = n_records = 0
                 for offset, size, head, reason in salvage(data):
                     if head is None:
                         out.append((archive, offset, size, "gap", reason, *[None] * 5, data[offset : offset + size]))
                     else:
+                        n_records += 1
                         revisit = head.get("warc-type") == "revisit"
                         n = int(head.get("x-payload-length", len(head["payload"]))) if revisit else len(head["payload"])
                         said = head.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest32(head["payload"])
@@ -174,6 +175,8 @@ def _reader(folder: str):
                     if weight > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=names)
                         out, weight = [], 0
+                if whole and n_records != listed:
+                    raise ValueError(f"{archive}: {n_records} records read, {listed} written")
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=names)
 
@@ -212,13 +215,13 @@ def _hexed(inner):
     return run
 
 
-def read(folder: str, archives: DataFrame) -> DataFrame:
-    """Records and gaps (kind "gap", with a reason and the quarantined bytes) of the listed archives."""
-    return archives.select("archive").repartition("archive").mapInArrow(_reader(folder), RECORDS)
+def read(folder: str, archives: DataFrame, whole: bool = False) -> DataFrame:
+    """Records and gaps (kind "gap", with a reason and the quarantined bytes) of the listed archives; with ``whole``, fewer or more records than listed are an error."""
+    return archives.select("archive", "records" if whole else F.lit(None).cast("long").alias("records")).repartition("archive").mapInArrow(_reader(folder, whole), RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from archives written of ``pages``."""
     folder, archives = write(pages, min_bytes)
-    found = read(folder, archives).where("kind != 'gap'")
+    found = read(folder, archives, whole=True).where("kind != 'gap'")
     return found.select(F.expr("try_cast(page_id as long)").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.expr("try_cast(refers_to as long)").alias("refers_to"))

@@ -1,6 +1,9 @@
 import base64
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from simplexa.llm import warc
 
 
@@ -32,3 +35,12 @@ def test_salvage():
         cut = list(warc.salvage(data[:-7]))
         assert sum(f[2] is not None for f in cut) == 5 and cut[-1][2] is None
         assert [f[2] is None for f in warc.salvage(b"junk" + data)] == [True] + [False] * 6
+
+
+def test_long_header_and_count(spark):
+    df = spark.createDataFrame([(1, "u" * (3 << 19), "a"), (2, "v", "b")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(df).collect()) == [1, 2]
+    folder, archives = warc.write(df)
+    assert warc.read(folder, archives, whole=True).count() == 2
+    with pytest.raises(Exception, match="records read"):
+        warc.read(folder, archives.withColumn("records", F.col("records") + 1), whole=True).collect()
