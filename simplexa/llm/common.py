@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _pow: dict[str, np.ndarray] = {}
+#: Masks of the lowest 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG_WORD = 128
 
 #: Spark's setting that deletes an execution's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -102,13 +106,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["p"], _pow["i"]
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial hash of buf[:i]; (P[e]-P[s])*inverse[s] is that of buf[s:e]."""
-    p = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(len(buf))[0][: len(buf)], out=p[1:])
-    return p
-
-
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets into them) of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -129,16 +126,37 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         at = end
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time; words of up to eight bytes never share one with each other.
+
+    Words of over LONG_WORD bytes are hashed one by one (XXH3).
+    """
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    size = ends - starts
+    out = mix(eight[starts] & _LOW[np.minimum(size, 8)])
+    at = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(at):
+        left = size[at] - done
+        out[at] = mix(out[at] * _GRAM + (eight[starts[at] + done] & _LOW[np.minimum(left, 8)]) + left.astype(np.uint64))
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
+
+
 class Words:
     """The words of a chunk of texts: byte starts and ends, row bounds, and a 64-bit hash each."""
 
     __slots__ = ("buf", "starts", "ends", "first", "hashes")
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fold: bytes | None = None) -> None:
+        raw = buf.tobytes()
+        inside = np.frombuffer(raw.translate((~separators).tobytes()), bool)
         if fold is not None:
-            buf = np.frombuffer(buf.tobytes().translate(fold), np.uint8)
+            buf = np.frombuffer(raw.translate(fold), np.uint8)
         self.buf = buf
-        inside = ~separators[buf]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         last = inside.copy()
@@ -149,8 +167,7 @@ class Words:
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        p = prefix_hash(buf)
-        self.hashes = mix((p[self.ends] - p[self.starts]) * powers(len(buf))[1][self.starts])
+        self.hashes = word_hashes(buf, self.starts, self.ends)
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on (those that run over a row's end are there, but mean nothing)."""
@@ -170,19 +187,6 @@ def gram_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w consecutive entries (van Herk: block prefix and suffix minima)."""
-    n = len(x)
-    if n < w:
-        return x[:0]
-    pad = np.full(-(-n // w) * w, np.iinfo(x.dtype).max, x.dtype)
-    pad[:n] = x
-    blocks = pad.reshape(-1, w)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - w + 1], left[w - 1 : n])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
