@@ -78,7 +78,7 @@ def test_lines(spark, monkeypatch):
                 seen.append(s)
         want.append((rows[i][0], len(have), len(have) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, line int")
-    for hot, paired in ((64, 100), (3, 100), (3, 20)):
+    for hot, paired in ((3, 100), (3, 20)):
         monkeypatch.setattr(lines, "HOT", hot)
         monkeypatch.setattr(lines, "PAIRED", paired)
         got = lines.dedup(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
