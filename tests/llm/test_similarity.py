@@ -78,9 +78,9 @@ def test_lines(spark, monkeypatch):
                 seen.append(s)
         want.append((rows[i][0], len(have), len(have) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, line int")
-    for hot, paired in ((3, 100), (3, 20)):
-        monkeypatch.setattr(lines, "HOT", hot)
-        monkeypatch.setattr(lines, "PAIRED", paired)
+    for hot, paired, partners, few in ((64, 100, 1, 64), (3, 20, 1, 2)):
+        for name, x in (("HOT", hot), ("PAIRED", paired), ("PARTNERS", partners), ("FEW", few)):
+            monkeypatch.setattr(lines, name, x)
         got = lines.dedup(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert lines.dedup(df.limit(0)).count() == 0
