@@ -24,15 +24,14 @@ def _top(metric: str, k: int):
         right = right.sort_values("id")
         a, b = np.stack(left["features"]).astype(float), np.stack(right["features"]).astype(float)
         ids, other = left["id"].to_numpy(), right["id"].to_numpy()
+        if metric == "euclidean":
+            return _nearest_euclidean(a, b, ids, other, k)
         frames = []
-        for at in range(0, len(a), 64):  # differences, not the expanded square: near points keep their digits
-            d = a[at : at + 64, None, :] - b[None]
-            if metric == "euclidean":
-                d = np.sqrt((d * d).sum(-1))
-            elif metric == "manhattan":
-                d = np.abs(d).sum(-1)
+        for at in range(0, len(a), 64):
+            if metric == "manhattan":
+                d = np.abs(a[at : at + 64, None, :] - b[None]).sum(-1)
             elif metric == "chebyshev":
-                d = np.abs(d).max(-1)
+                d = np.abs(a[at : at + 64, None, :] - b[None]).max(-1)
             else:
                 x, y = a[at : at + 64], b
                 n = np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None])
@@ -48,52 +47,128 @@ def _top(metric: str, k: int):
     return run
 
 
+def _nearest_euclidean(a: np.ndarray, b: np.ndarray, ids: np.ndarray, other: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest by a matrix product with a margin for its rounding, then by exact differences; ``other`` ascends."""
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    margin = 1e-12 * max(1, a.shape[1]) * (aa.max() + bb.max())
+    frames = []
+    for at in range(0, len(a), 512):
+        x, who = a[at : at + 512], ids[at : at + 512]
+        d = aa[at : at + 512, None] + bb[None] - 2 * (x @ b.T)
+        d[who[:, None] == other[None]] = np.inf
+        last = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.finfo(float).max)
+        row, col = np.nonzero((d <= last[:, None] + margin) & np.isfinite(d))
+        dist = np.sqrt(((x[row] - b[col]) ** 2).sum(1))
+        order = np.lexsort((col, dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        frames.append(pd.DataFrame({"i": who[row[keep]], "j": other[col[keep]], "dist": dist[keep]}))
+    return pd.concat(frames)
+
+
 def knn(points: DataFrame, k: int, metric: str = "euclidean", base: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, rank, j, dist): the k nearest of ``base`` (or of ``points``) to every point (id, features).
 
     Each pair of blocks is a task that returns k candidates a point, so what is
-    shuffled is the points times the number of blocks, never the pairs.
+    shuffled is the points times the number of blocks, never the pairs. Points without
+    features have no neighbours and are none; rows of one id are one point, all features
+    must have one length. ``k`` beyond the points gives what there is.
     """
     if metric not in ("euclidean", "manhattan", "chebyshev", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     base = points if base is None else base
     a, b = (max(1, math.ceil(df.count() / block_rows)) for df in (points, base))
-    put = lambda df, own, n, other, m: df.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+    put = lambda df, own, n, other, m: df.where("features is not null").select("id", "features", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
     left, right = put(points, "p", a, "q", b), put(base, "q", b, "p", a)
     near = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(_top(metric, k), EDGES)
     rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "rank", "j", "dist")
 
 
-def _scales(target: float, k: int, floor: float):
+def nearest(distances: DataFrame, k: int) -> DataFrame:
+    """(i, rank, j, dist): the k nearest by a table (i, j, dist) of given distances, dense or sparse; points with fewer keep what they have."""
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))
+    return distances.where("i != j and dist is not null").withColumn("rank", rank).where(F.col("rank") <= k).select("i", "rank", "j", "dist")
+
+
+def unique_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points (id, features) with different features, by their least id, and (id, unique_id) of all."""
+    owner = points.groupBy("features").agg(F.min("id").alias("unique_id"))
+    back = points.join(owner, "features").select("id", "unique_id")
+    return owner.select(F.col("unique_id").alias("id"), "features"), back
+
+
+def _scales(target: float, connectivity: float):
     """Solves the sum of exp(-max(0, d - rho) / sigma) = target by bisection, all rows of a batch at once."""
 
     def run(batches):
         for b in batches:
-            d = np.stack(b["dists"])
-            rho = np.where((d > 0).any(1), np.where(d > 0, d, np.inf).min(1), 0.0)
+            if not len(b):
+                continue
+            size = b["dists"].map(len).to_numpy()
+            there = np.arange(size.max()) < size[:, None]
+            d = np.full(there.shape, np.inf)
+            d[there] = np.concatenate([np.asarray(x, float) for x in b["dists"]])  # ascending
+            zeros = (d == 0).sum(1)
+            some = size - zeros
+            at, part = int(connectivity), connectivity - int(connectivity)
+            pick = lambda n: np.where(some > 0, np.take_along_axis(d, np.clip(zeros + n, 0, size - 1)[:, None], 1)[:, 0], 0.0)  # noqa: E731, B023
+            rho = pick(at - 1) + (part * (pick(at) - pick(at - 1)) if part > 1e-5 else 0.0) if at > 0 else part * pick(0)
+            rho = np.where(some >= connectivity, rho, pick(some - 1))
             low, high, sigma = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
             active = np.ones(len(d), bool)
             for _ in range(64):
                 gap = d - rho[:, None]
-                total = np.where(gap > 0, np.exp(-np.maximum(gap, 0) / sigma[:, None]), 1.0).sum(1)
+                total = np.where(there, np.where(gap > 0, np.exp(-np.maximum(gap, 0) / sigma[:, None]), 1.0), 0.0).sum(1)
                 active &= np.abs(total - target) >= 1e-5
                 above = total > target
                 high, low = np.where(active & above, sigma, high), np.where(active & ~above, sigma, low)
                 step = np.where(np.isinf(high), sigma * 2, (low + high) / 2)
                 sigma = np.where(active, step, sigma)
-            mean = np.where(rho > 0, d.sum(1) / k, floor)
+            mean = np.where(rho > 0, np.where(there, d, 0).sum(1) / (size + 1), b["floor"])
             yield pd.DataFrame({"i": b["i"], "sigma": np.maximum(sigma, 1e-3 * mean), "rho": rho})
 
     return run
 
 
-def local_scale(edges: DataFrame, k: int) -> DataFrame:
-    """(i, sigma, rho) of each point; ``k`` counts the point itself, ``edges`` has k - 1 neighbours each."""
-    total, points = edges.agg(F.sum("dist"), F.count_distinct("i")).first()
-    floor = (total or 0.0) / max(1, k * (points or 1))
-    rows = edges.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("rank", "dist"))).alias("e")).select("i", F.col("e.dist").alias("dists")).where(F.size("dists") == k - 1)
-    return rows.mapInPandas(_scales(math.log2(k), k, floor), "i long, sigma double, rho double")
+def local_scale(edges: DataFrame, k: int, connectivity: float = 1.0, bandwidth: float = 1.0) -> DataFrame:
+    """(i, sigma, rho) of each point; ``k`` counts the point itself, ``edges`` has up to k - 1 neighbours each.
+
+    rho is the distance to the ``connectivity``-th neighbour that is not at 0 (between two for
+    fractions; the farthest where there are too few), sigma makes the strengths sum to
+    log2(k) * bandwidth. Points with fewer neighbours keep all they have.
+    """
+    floor = edges.agg((F.coalesce(F.sum("dist"), F.lit(0.0)) / F.greatest(F.lit(1), F.count("*") + F.count_distinct("i"))).alias("floor"))
+    rows = edges.groupBy("i").agg(F.sort_array(F.collect_list("dist")).alias("dists")).crossJoin(F.broadcast(floor))  # one row
+    return rows.mapInPandas(_scales(math.log2(k) * bandwidth, connectivity), "i long, sigma double, rho double")
+
+
+def fit_curve(spread: float = 1.0, min_dist: float = 0.1) -> tuple[float, float]:
+    """a and b of 1 / (1 + a * x ** 2b), fitted to 1 up to min_dist and exp(-(x - min_dist) / spread) beyond, by Levenberg-Marquardt."""
+    x = np.linspace(0, spread * 3, 300)
+    y = np.where(x < min_dist, 1.0, np.exp(-(x - min_dist) / spread))
+    log = np.log(np.where(x > 0, x, 1.0))
+    at, damping = np.array([1.0, 1.0]), 1e-3
+
+    def curve(p: np.ndarray) -> np.ndarray:
+        return 1 / (1 + p[0] * x ** (2 * p[1]))
+
+    error = ((curve(at) - y) ** 2).sum()
+    for _ in range(500):
+        f, power = curve(at), x ** (2 * at[1])
+        slope = np.stack((-f * f * power, -f * f * at[0] * power * 2 * log), axis=1)
+        square = slope.T @ slope
+        step = np.linalg.solve(square + damping * np.diag(np.diag(square)), slope.T @ (y - f))
+        tried = ((curve(at + step) - y) ** 2).sum()
+        if tried < error:
+            at, error, damping = at + step, tried, damping / 4
+            if np.abs(step).max() < 1e-13:
+                break
+        else:
+            damping *= 4
+            if damping > 1e12:
+                break
+    return float(at[0]), float(at[1])
 
 
 def membership(edges: DataFrame, scale: DataFrame) -> DataFrame:

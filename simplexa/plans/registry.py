@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +9,9 @@ from pyspark.sql import functions as F
 
 from simplexa.functions.distances import EXPRESSIONS, distance
 from simplexa.operators import neighbors, quality
-
-Query = Callable[[SparkSession, str], DataFrame]
-#: What a metric's domain needs done to a coordinate.
-DOMAIN = {
-    **{name: "abs({0})" for name in ("hellinger", "symmetric_kl")},
-    "poincare": "0.5 * {0}",
-    **{name: "CASE WHEN {0} > 0 THEN 1.0 ELSE 0.0 END" for name in ("hamming", "jaccard", "matching", "dice", "kulsinski", "rogerstanimoto", "russellrao", "sokalmichener", "sokalsneath", "yule")},
-}
-
-
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), "label")
+from simplexa.operators.common import settle
+from simplexa.plans import more
+from simplexa.plans.base import AGGREGATES, DOMAIN, Query, flat, knn_sql, points
 
 
 def pair_distance(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +27,6 @@ def knn_exact(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     return found.select("i", F.col("rank").cast("long").alias("rank"), "j", F.round("dist", 6).alias("dist"))
 
 
-def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed two-dimensional embedding: the first two coordinates."""
-    return points(spark, sf_dir).select("id", F.slice("features", 1, 2).alias("features"), "label")
-
-
 def neighbor_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     high = neighbors.knn(points(spark, sf_dir).select("id", "features"), 15)
     low = neighbors.knn(flat(spark, sf_dir).select("id", "features"), 15)
@@ -55,7 +39,7 @@ def global_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy neighbour graph: kNN, local scale, membership, union."""
-    edges = neighbors.knn(points(spark, sf_dir).select("id", "features"), 14)
+    edges = settle(neighbors.knn(points(spark, sf_dir).select("id", "features"), 14))
     graph = neighbors.fuzzy_union(neighbors.membership(edges, neighbors.local_scale(edges, 15)))
     return graph.select("i", "j", F.round("w", 4).alias("w"))
 
@@ -63,35 +47,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"dist_{name}": partial(pair_distance, name=name) for name in [*EXPRESSIONS, "minkowski"]}
     found |= {f"knn_exact_{m}": partial(knn_exact, metric=m) for m in ("euclidean", "manhattan", "chebyshev", "cosine")}
-    return found | {"fuzzy_graph": flagship, "neighbor_overlap": neighbor_overlap, "global_structure": global_structure}
-
-
-_TT, _TF, _FT = "sum(CASE WHEN u<>0 AND v<>0 THEN 1 ELSE 0 END)", "sum(CASE WHEN u<>0 AND v=0 THEN 1 ELSE 0 END)", "sum(CASE WHEN u=0 AND v<>0 THEN 1 ELSE 0 END)"
-_NE, _N = f"({_TF} + {_FT})", "count(*)"
-_COSINE = "1 - sum(u*v) / sqrt(sum(u*u) * sum(v*v))"
-AGGREGATES = {
-    "euclidean": "sqrt(sum((u-v)*(u-v)))",
-    "manhattan": "sum(abs(u-v))",
-    "chebyshev": "max(abs(u-v))",
-    "minkowski": "pow(sum(pow(abs(u-v), 3)), 1.0/3)",
-    "canberra": "sum(CASE WHEN abs(u)+abs(v) > 0 THEN abs(u-v)/(abs(u)+abs(v)) ELSE 0 END)",
-    "braycurtis": "coalesce(sum(abs(u-v)) / nullif(sum(abs(u+v)), 0), 0)",
-    "cosine": _COSINE,
-    "correlation": "1 - corr(u, v)",
-    "hellinger": "sqrt(greatest(1 - sum(sqrt(u*v)) / sqrt(sum(u)*sum(v)), 0))",
-    "poincare": "acosh(1 + 2*sum((u-v)*(u-v)) / ((1-sum(u*u))*(1-sum(v*v))))",
-    "haversine": "2*asin(sqrt(pow(sin((min(u) FILTER (k=1) - min(v) FILTER (k=1))/2), 2) + cos(min(u) FILTER (k=1))*cos(min(v) FILTER (k=1))*pow(sin((min(u) FILTER (k=2) - min(v) FILTER (k=2))/2), 2)))",
-    "hamming": f"{_NE} / {_N}",
-    "jaccard": f"coalesce({_NE} / nullif({_TT} + {_NE}, 0), 0)",
-    "matching": f"{_NE} / {_N}",
-    "dice": f"coalesce({_NE} / nullif(2*{_TT} + {_NE}, 0), 0)",
-    "kulsinski": f"CASE WHEN {_NE} = 0 THEN 0 ELSE ({_NE} - {_TT} + {_N}) / ({_NE} + {_N}) END",
-    "rogerstanimoto": f"2*{_NE} / ({_N} + {_NE})",
-    "russellrao": f"CASE WHEN {_NE} = 0 THEN 0 ELSE ({_N} - {_TT}) / {_N} END",
-    "sokalmichener": f"2*{_NE} / ({_N} + {_NE})",
-    "sokalsneath": f"CASE WHEN {_NE} = 0 THEN 0 ELSE {_NE} / (0.5*{_TT} + {_NE}) END",
-    "yule": f"CASE WHEN {_TF} = 0 OR {_FT} = 0 THEN 0 ELSE 2*{_TF}*{_FT} / ({_TT}*({_N}-{_TT}-{_NE}) + {_TF}*{_FT}) END",
-}
+    return found | {"fuzzy_graph": flagship, "neighbor_overlap": neighbor_overlap, "global_structure": global_structure} | more.queries()
 
 
 def _pairs(name: str) -> str:
@@ -100,23 +56,22 @@ def _pairs(name: str) -> str:
  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), p AS (SELECT id, k, {u} AS u, {v} AS v FROM raw)"""
 
 
-def _knn_sql(metric: str, k: int, dims: str = "") -> str:
-    """Edges by brute force over unnested coordinates."""
-    return f"""SELECT i, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank, j, dist FROM (
- SELECT a.vec_id AS i, b.vec_id AS j, {AGGREGATES[metric]} AS dist
- FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS u, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) a
- JOIN (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) b ON a.k = b.k AND a.vec_id <> b.vec_id {dims}
- GROUP BY 1, 2) QUALIFY rank <= {k}"""
-
-
 def oracle_sql() -> dict[str, str]:
     out = {f"dist_{name}": f"{_pairs(name)} SELECT id, round(CAST({agg} AS DOUBLE), 6) AS d FROM p GROUP BY id" for name, agg in AGGREGATES.items()}
     out["dist_symmetric_kl"] = f"""{_pairs('symmetric_kl')}, n AS (SELECT id, (u + 1e-11) / sum(u + 1e-11) OVER (PARTITION BY id) AS u, (v + 1e-11) / sum(v + 1e-11) OVER (PARTITION BY id) AS v FROM p)
  SELECT id, round(0.5 * sum(u*ln(u/v) + v*ln(v/u)), 6) AS d FROM n GROUP BY id"""
-    out |= {f"knn_exact_{m}": f"SELECT i, rank, j, round(dist, 6) AS dist FROM ({_knn_sql(m, 10)})" for m in ("euclidean", "manhattan", "chebyshev", "cosine")}
-    out["neighbor_overlap"] = f"""WITH h AS ({_knn_sql('euclidean', 15)}), l AS ({_knn_sql('euclidean', 15, 'AND a.k <= 2')})
+    out |= {f"knn_exact_{m}": f"SELECT i, rank, j, round(dist, 6) AS dist FROM ({knn_sql(m, 10)})" for m in ("euclidean", "manhattan", "chebyshev", "cosine")}
+    out["neighbor_overlap"] = f"""WITH h AS ({knn_sql('euclidean', 15)}), l AS ({knn_sql('euclidean', 15, 'AND a.k <= 2')})
  SELECT round((SELECT count(*) FROM h JOIN l USING (i, j)) / (15.0 * (SELECT count(*) FROM embeddings)), 6) AS overlap"""
     out["global_structure"] = """WITH c AS (SELECT label, k, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) GROUP BY 1, 2),
  d AS (SELECT a.label, b.label AS other, sqrt(sum(pow(a.m-b.m, 2))) AS h, sqrt(sum(pow(a.m-b.m, 2)) FILTER (a.k <= 2)) AS l FROM c a JOIN c b ON a.k = b.k AND a.label < b.label GROUP BY 1, 2)
  SELECT round(greatest(coalesce(corr(h, l), 1.0), 0.0), 6) AS score FROM d"""
-    return out
+    out["fuzzy_graph"] = f"""WITH RECURSIVE h AS ({knn_sql('euclidean', 14)}), s AS (SELECT i, list(dist ORDER BY dist) AS ds, coalesce(min(dist) FILTER (dist > 0), 0) AS rho FROM h GROUP BY i),
+ r AS (SELECT i, ds, rho, 0 AS step, 0.0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1.0::DOUBLE AS mid, false AS done FROM s
+  UNION ALL SELECT i, ds, rho, step + 1, CASE WHEN done OR t > log2(15) THEN low ELSE mid END, CASE WHEN done OR t <= log2(15) THEN high ELSE mid END,
+   CASE WHEN done THEN mid WHEN t > log2(15) THEN (low + mid) / 2 WHEN isinf(high) THEN mid * 2 ELSE (mid + high) / 2 END, done
+  FROM (SELECT i, ds, rho, step, low, high, mid, t, abs(t - log2(15)) < 1e-5 AS done FROM (SELECT *, list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / mid))) AS t FROM r WHERE step < 64))),
+ f AS (SELECT i, greatest(mid, 1e-3 * list_sum(ds) / 15) AS sigma, rho FROM r WHERE step = 64),
+ w AS (SELECT h.i, h.j, exp(-greatest(dist - rho, 0) / sigma) AS w FROM h JOIN f USING (i)), t AS (SELECT j AS i, i AS j, w FROM w)
+ SELECT i, j, round(coalesce(w.w, 0) + coalesce(t.w, 0) - coalesce(w.w, 0) * coalesce(t.w, 0), 4) AS w FROM w FULL JOIN t USING (i, j)"""
+    return out | more.oracle_sql()

@@ -1 +1 @@
-
+"""Where points come from and where results go."""
