@@ -1,7 +1,7 @@
 """Substring dedup: remove every word of a 20-word window that also starts earlier in the corpus.
 
 Corpus-wide, exact and linear in the input; see ``windows`` for the search and its
-defined results. The README says why automata of reference shards are not used.
+defined results. Contexts are streamed against suffix automata of the earlier ones of their shard.
 """
 
 from __future__ import annotations

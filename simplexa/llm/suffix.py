@@ -1,7 +1,7 @@
 """Exact substring dedup on bytes: remove every byte of a 400-byte string that starts anywhere else too.
 
 Corpus-wide, exact and linear in the input; see ``windows`` for the search and its
-defined results. The README says why column-wise index construction is not used.
+defined results. Repeats are read off a transform built column by column, one symbol of every context a round.
 """
 
 from __future__ import annotations

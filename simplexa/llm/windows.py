@@ -1,23 +1,27 @@
 """Repeated windows of k symbols (bytes or words), found exactly without pairs or hot tasks.
 
 Every window of k symbols is keyed by the inner gram with the smallest hash (its top
-33 bits; the leftmost among equals). Runs of consecutive windows with one such place
-make a context (about two in each k - gram symbols; no window occurs twice in it),
-which is all that is shuffled for most of the text:
-
-* contexts that occur twice or more settle all their windows at once, however many
-  copies there are (map-side combined counts; the join back may be skew-split);
-* where different contexts share a key, the windows of one occurrence of each
-  context are compared one by one, by hash.
-
-Hashes have 64 bits and are taken as equality (a false match of two windows among n
-has a chance below n * n / 2**65). ``mode`` says what is removed: "any" takes every
-window that starts anywhere else too, "later" all but the first in (doc_id, row,
-start) order. A row's text never leaves its row; a null text has no symbols; a null
-doc_id sorts first; repeated rows count as separate documents; other columns are
-dropped.
-
-Bounds: an Arrow batch of texts and the spans of one document per task.
+33 bits; the leftmost among equals), its anchor. Runs of consecutive windows with one such
+place make a context (about two in each k - gram symbols; no window occurs twice in it):
+
+* Contexts are counted, after a sum for each chunk of texts; those that occur twice or
+  more settle all their windows at once, however many copies there are (the join back may
+  be skew-split).
+* Different contexts with one anchor are routed to a task once each, whatever their number
+  of copies, and compared symbol by symbol by a kernel of ``repeats`` on shards of bounded
+  size. An anchor of over CROWD different contexts is split by the symbols next to it: of
+  those beside the anchor, a window has half or more on one side, so a context goes to
+  the tasks of its left and of its right side.
+
+Equal (anchor, context) hashes of 64 bits each are taken as equal contexts; no other
+decision rests on a hash. ``mode`` says what is removed: "any" takes every window that
+starts anywhere else too, "later" all but the first in (doc_id, row, start) order. A row's
+text never leaves its row; a null text has no symbols; a null doc_id sorts first; repeated
+rows count as separate documents; other columns are dropped. Rows are numbered by
+``monotonically_increasing_id``, so ``docs`` must read alike each time it is read (tables do).
+
+Bounds: an Arrow batch of texts, the spans of one document, and SHARD symbols of contexts
+(or one group) per task.
 """
 
 from __future__ import annotations
@@ -27,14 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import _BYTE, WHITE, Words, cover, materialise, mix, powers, spans_of, text_chunks
+from simplexa.llm.common import _BYTE, WHITE, Words, cover, discard, materialise, mix, powers, spans_of, text_chunks
+from simplexa.llm.repeats import columns, earlier
 
-_CONTEXTS = "row long, doc_id long, lo int, hi int, g long, c long"
+_CONTEXTS = "g long, c long, n long, d long, row long, lo int, hi int"
 _PLACE, _PLACES = np.uint64(31), np.uint64((1 << 31) - 1)
 _LENGTH = np.uint64(0x9FB21C651E98DF25)
+#: Different contexts of an anchor that go to one task; symbols that a kernel takes at once, about.
+CROWD, SHARD = 4096, 1 << 23
 
 
 class Symbols:
@@ -68,10 +75,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
-def _contexts(k: int, gram: int, words: bool):
+def _contexts(k: int, gram: int, words: bool, counted: bool):
+    """(row, doc_id, text) -> every context, or each chunk's different ones with their number and first place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids = batch.column(0), batch.column(1)
+            rows, ids = batch.column(0).to_numpy(), batch.column(1).fill_null(-(1 << 63)).to_numpy()
             for a, b, buf, off in text_chunks(batch.column(2)):
                 s = Symbols(buf, off, words)
                 if s.n < k:
@@ -91,64 +100,135 @@ def _contexts(k: int, gram: int, words: bool):
                 lo_i = np.flatnonzero(fresh)
                 hi_i = np.append(lo_i[1:], len(at)) - 1
                 lo, hi, own = at[lo_i], at[hi_i], own[lo_i]
-                c = mix(s.hash(lo, hi + k) + (hi - lo).astype(np.uint64) * _LENGTH)
-                take = pa.array(own + a)
-                base = s.first[own]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.take(take), ids.take(take), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32)), pa.array(grams[least[lo_i]].view(np.int64)), pa.array(c.view(np.int64))],
-                    names=["row", "doc_id", "lo", "hi", "g", "c"],
-                )
+                c = mix(s.hash(lo, hi + k) + (hi - lo).astype(np.uint64) * _LENGTH).view(np.int64)
+                g, base, n = grams[least[lo_i]].view(np.int64), s.first[own], np.ones(len(lo), np.int64)
+                d, row, lo, hi = ids[own + a], rows[own + a], lo - base, hi - base
+                if counted:
+                    order = np.lexsort((lo, row, d, c, g))
+                    new = np.flatnonzero(np.concatenate(([True], (np.diff(g[order]) != 0) | (np.diff(c[order]) != 0))))
+                    n = np.diff(np.append(new, len(order)))
+                    g, c, d, row, lo, hi = (x[order[new]] for x in (g, c, d, row, lo, hi))
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(n), pa.array(d), pa.array(row), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["g", "c", "n", "d", "row", "lo", "hi"])
 
     return run
 
 
-def _windows(k: int, words: bool):
-    """(row, doc_id, text, spans of (lo, hi, n)) -> a row for each window."""
+_CONTENTS = "route long, d long, row long, lo int, n long, anchor int, x binary"
+
+
+def _contents(k: int, gram: int, words: bool, crowd: int):
+    """(row, text, spans of struct(g, d, lo, hi, n, m)) -> the contexts' symbols, once or for each side of a crowded anchor."""
+    side = -(-(k - gram) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                spans = one.column(3).to_pylist()[0]
-                for _, _, buf, off in text_chunks(one.column(2)):
-                    s = Symbols(buf, off, words)
-                    at = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in spans])
-                    n = np.concatenate([np.full(x["hi"] + 1 - x["lo"], x["n"], np.int64) for x in spans])
-                    take = pa.array(np.zeros(len(at), np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [one.column(0).take(take), one.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(n), pa.array(s.hash(at, at + k).view(np.int64))],
-                        names=["row", "doc_id", "s", "n", "h"],
-                    )
+            spans = batch.column(2)
+            at = 0
+            for _, _, buf, off in text_chunks(batch.column(1)):
+                s, raw = Symbols(buf, off, words), buf.tobytes()
+                grams = s.every(gram) if s.n >= gram else np.zeros(0, np.uint64)
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                for i in range(len(off) - 1):
+                    row, base = batch.column(0)[at].as_py(), int(s.first[i])
+                    for x in spans[at].as_py():
+                        lo, hi = base + x["lo"], base + x["hi"]
+                        anchor = lo + int(np.argmax(grams[lo : hi + k - gram + 1].view(np.int64) == x["g"]))
+                        cut = raw[int(s.starts[lo]) : int(s.ends[hi + k - 1])] if words else raw[lo : hi + k]
+                        routes = [x["g"]]
+                        if x["m"] > crowd:
+                            ends = [(anchor - side, anchor + gram)] * (anchor - side >= lo) + [(anchor, anchor + gram + side)] * (anchor + gram + side <= hi + k)
+                            routes = [int((s.hash(np.array([y]), np.array([z])) + np.uint64(y < anchor)).view(np.int64)[0]) for y, z in ends]
+                        for route in routes:
+                            for column, value in zip(out, (route, x["d"], row, x["lo"], x["n"], anchor - lo, cut), strict=True):
+                                column.append(value)
+                    at += 1
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["route", "d", "row", "lo", "n", "anchor", "x"])
+
+    return run
+
+
+def _compared(k: int, words: bool, mode: str, shard: int):
+    """Contexts sorted by route and place -> (row, s, e) of what goes, whole routes at a time."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows * 64 + batch.column(6).nbytes
+            if size > shard:
+                whole = pa.Table.from_batches(held)
+                route = whole.column(0).to_numpy()
+                last = int(np.searchsorted(route, route[-1]))  # the last route may go on
+                if last:
+                    yield whole.slice(0, last)
+                    held = whole.slice(last).to_batches()
+                    size = sum(x.num_rows * 64 + x.column(6).nbytes for x in held)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in shards(batches):
+            route, row, lo, n, anchor = (part.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+            groups = np.cumsum(np.concatenate(([False], route[1:] != route[:-1])))
+            raw = part.column(6).to_pylist()
+            if mode == "later":
+                who, at = earlier(groups, [x.split() if words else list(x) for x in raw], k)
+            else:
+                names: dict[bytes, int] = {}
+                symbols = [np.array([names.setdefault(y, len(names)) for y in x.split()], np.int32) if words else np.frombuffer(x, np.uint8) for x in raw]
+                who, at = _pieces(groups, symbols, anchor, k, shard)
+                who, at = who[n[who] == 1], at[n[who] == 1]  # the others go as a whole
+            order = np.lexsort((at, who))
+            who, at = who[order], at[order]
+            begin = np.flatnonzero(np.concatenate(([True], (np.diff(who) != 0) | (np.diff(at) > 1)))) if len(who) else who
+            end = np.append(begin[1:], len(who)) - 1 if len(who) else who
+            yield pa.RecordBatch.from_arrays([pa.array(row[who[begin]]), pa.array((lo[who[begin]] + at[begin]).astype(np.int32)), pa.array((lo[who[end]] + at[end] + k).astype(np.int32))], names=["row", "s", "e"])
 
     return run
 
 
+def _pieces(groups: np.ndarray, symbols: list, anchors: np.ndarray, k: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """``columns`` on whole groups of about ``shard`` symbols."""
+    ends = [*np.flatnonzero(np.diff(groups)) + 1, len(groups)]
+    sizes = np.cumsum([len(x) for x in symbols])
+    who, at, a = [], [], 0
+    for i, b in enumerate(ends):
+        if i + 1 < len(ends) and sizes[ends[i + 1] - 1] - (sizes[a - 1] if a else 0) <= shard // 4:
+            continue
+        x, y = columns(groups[a:b] - groups[a], symbols[a:b], anchors[a:b].astype(np.int64), k)
+        who.append(x + a)
+        at.append(y)
+        a = b
+    return np.concatenate(who), np.concatenate(at)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text): the row number tells repeated documents apart."""
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def repeated(rows: DataFrame, k: int, gram: int, words: bool, mode: str) -> DataFrame:
-    """(row, s, e): symbols s to e - 1 of the row are to go; spans may overlap."""
-    ctx = materialise(rows.mapInArrow(_contexts(k, gram, words), _CONTEXTS), "contexts")
-    place = F.struct("doc_id", "row", "lo", "hi")
-    gc = materialise(ctx.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "context-classes")
-    again = gc.where("n > 1").select("g", "c", F.col("rep.row").alias("r0"), F.col("rep.lo").alias("l0"))
+    """(row, spans): symbols s to e - 1 of each span (s, e) of the row are to go; spans may overlap."""
+    each = rows.mapInArrow(_contexts(k, gram, words, counted=True), _CONTEXTS).repartition("g")
+    gc = each.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(F.struct("d", "row", "lo", "hi")).alias("rep"))
+    gc = gc.withColumn("m", F.count("*").over(Window.partitionBy("g"))).where("n > 1 or m > 1").select("g", "c", "n", "m", "rep.*")
+    gc = materialise(gc, "context-classes")
+    ctx = rows.mapInArrow(_contexts(k, gram, words, counted=False), _CONTEXTS).select("g", "c", "row", "lo", "hi")
+    again = gc.where("n > 1").select("g", "c", F.col("row").alias("r0"), F.col("lo").alias("l0"))
     whole = ctx.join(again, ["g", "c"])
     if mode == "later":
         whole = whole.where("row != r0 or lo != l0")
-    whole = whole.select("row", F.col("lo").alias("s"), (F.col("hi") + k).alias("e"))
-    shared = gc.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
-    reps = gc.join(shared, "g").select("rep.row", F.struct("rep.lo", "rep.hi", "n").alias("span"))
-    asked = rows.join(reps.groupBy("row").agg(F.collect_list("span").alias("spans")), "row").select("row", "doc_id", "text", "spans")
-    fine = materialise(asked.mapInArrow(_windows(k, words), "row long, doc_id long, s int, n long, h long"), "windows")
-    if mode == "any":
-        twice = fine.groupBy("h").agg(F.sum("n").alias("t"), F.count("*").alias("x")).where("t > 1 and x > 1").select("h")
-        single = fine.where("n = 1").join(twice, "h")
-    else:
-        twice = fine.groupBy("h").agg(F.count("*").alias("x"), F.min(F.struct("doc_id", "row", "s")).alias("rep")).where("x > 1").select("h", F.col("rep.row").alias("r0"), F.col("rep.s").alias("s0"))
-        single = fine.join(twice, "h").where("row != r0 or s != s0")
-    return whole.unionByName(single.select("row", "s", (F.col("s") + k).alias("e")))
+    whole = materialise(whole.select("row", F.col("lo").alias("s"), (F.col("hi") + k).alias("e")), "whole-contexts")
+    asked = gc.where("m > 1").groupBy("row").agg(F.collect_list(F.struct("g", "d", "lo", "hi", "n", "m")).alias("spans"))
+    fine = rows.select("row", "text").join(asked, "row").select("row", "text", "spans").mapInArrow(_contents(k, gram, words, CROWD), _CONTENTS)
+    fine = fine.repartition("route").sortWithinPartitions("route", "d", "row", "lo").mapInArrow(_compared(k, words, mode, SHARD), "row long, s int, e int")
+    spans = materialise(whole.unionByName(fine).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    discard(gc, whole)
+    return spans
 
 
 def _digest(words: bool):
@@ -183,6 +263,6 @@ def _digest(words: bool):
 def remove_repeats(docs: DataFrame, k: int, gram: int, words: bool, mode: str) -> DataFrame:
     """(doc_id, n_symbols, n_removed, n_spans, kept, kept_sha256), a row a document; ``kept`` is UTF-8 bytes."""
     rows = numbered(docs)
-    spans = repeated(rows, k, gram, words, mode).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated(rows, k, gram, words, mode)
     joined = rows.join(spans, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_digest(words), "doc_id long, n_symbols long, n_removed long, n_spans long, kept binary, kept_sha256 string")
