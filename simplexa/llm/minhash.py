@@ -10,7 +10,7 @@ No group is expanded into pairs: in each round a class is compared with one cent
 of its buckets (that with the most alike signature), components grow by the confirmed links, and buckets of one component
 are closed. At the end the members outside a bucket's largest component are compared
 with all of that bucket; pairs already in one component need no comparison, and a pair
-whose signatures agree in far fewer places than at the threshold (5.5 standard deviations:
+whose signatures of SCREEN permutations agree in far fewer places than at the threshold (5.5 standard deviations:
 a pair at the threshold is lost with probability below 1e-7) gets none. Links are
 confirmed on full sets.
 
@@ -36,6 +36,8 @@ from simplexa.llm.graph import components
 from simplexa.llm.windows import numbered
 
 SHINGLE, PERCENT, PERMUTATIONS, ROWS_PER_BAND = 5, 75, 80, 4
+#: Permutations of the screen; the first PERMUTATIONS are those of the bands.
+SCREEN = 160
 #: Star rounds before the exhaustive one, while that one would cost more than CROSS_FACTOR rows a posting.
 STARS, CROSS_FACTOR = 3, 4
 #: Bits kept of each signature value, and how far below the threshold a pair's agreement may lie to be confirmed.
@@ -51,11 +53,25 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(grams[a : b - k + 1]) if b - a >= k else gram_hash(w.hashes[a:b], b - a) if b > a else grams[:0]
 
 
-def _signatures(k: int, permutations: int, rows: int):
+def _min_max(x: np.ndarray, mul: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest of x under each permutation, some permutations at a time."""
+    low, high = np.empty(len(mul), np.uint64), np.empty(len(mul), np.uint64)
+    step = max(1, (1 << 15) // len(x))
+    for i in range(0, len(mul), step):
+        m = mul[i : i + step, None]
+        y = x ^ add[i : i + step, None]
+        y *= m
+        y ^= y >> np.uint64(32)
+        y *= m
+        low[i : i + step], high[i : i + step] = y.min(1), y.max(1)
+    return low, high
+
+
+def _signatures(k: int, permutations: int, rows: int, screen: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.Generator(np.random.PCG64(7))
-        mul = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = rng.integers(1, 1 << 63, permutations, dtype=np.uint64)
+        mul = rng.integers(1, 1 << 63, screen, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        add = rng.integers(1, 1 << 63, screen, dtype=np.uint64)
         bands = 2 * permutations // rows
         for batch in batches:
             n, c, keys, bits = [], [], [], []
@@ -66,15 +82,10 @@ def _signatures(k: int, permutations: int, rows: int):
                     keys.append([])
                     bits.append([])
                     continue
-                low, high = np.empty(permutations, np.uint64), np.empty(permutations, np.uint64)
-                for i in range(permutations):
-                    y = (x ^ add[i]) * mul[i]
-                    y ^= y >> np.uint64(32)
-                    y *= mul[i]
-                    low[i], high[i] = y.min(), y.max()
-                sig = np.concatenate((low, high))[: bands * rows].reshape(bands, rows)
+                low, high = _min_max(x, mul, add)
+                sig = np.concatenate((low[:permutations], high[:permutations]))[: bands * rows].reshape(bands, rows)
                 keys.append(mix(gram_hash_rows(sig) + np.arange(bands, dtype=np.uint64)).view(np.int64))
-                bits.append(_planes(sig.ravel()))
+                bits.append(_planes(np.concatenate((low, high))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["row", "doc_id", "n", "c", "keys", "bits"])
 
     return run
@@ -138,17 +149,18 @@ def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows_per_band: int = ROWS_PER_BAND, screen: int = SCREEN) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, kept), a row a document."""
     rows = numbered(docs)
-    sig = materialise(rows.mapInArrow(_signatures(k, permutations, rows_per_band), "row long, doc_id long, n long, c long, keys array<long>, bits array<long>"), "signatures")
+    sig = materialise(rows.mapInArrow(_signatures(k, permutations, rows_per_band, max(screen, permutations)), "row long, doc_id long, n long, c long, keys array<long>, bits array<long>"), "signatures")
     classes = sig.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     classes = materialise(classes, "classes")
     every = classes.select("c", "n", F.explode("keys").alias("k"))
     crowded = every.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
-    posting = materialise(every.join(crowded, "k").join(classes.select("c", "bits"), "c"), "postings")
+    posting = materialise(every.join(crowded, "k"), "postings")
+    bits, bits0 = classes.select("c", "bits"), classes.select(F.col("c").alias("c0"), F.col("bits").alias("bits0"))
     close = F.lit(100) * F.least("n", "n0") >= F.lit(percent) * F.greatest("n", "n0")
-    unlike, most = _unlike(2 * permutations // rows_per_band * rows_per_band, percent)
+    unlike, most = _unlike(2 * max(screen, permutations), percent)
     alike = unlike <= most
     confirm = partial(_confirm, classes=classes, rows=rows, k=k, percent=percent)
     found = None
@@ -162,18 +174,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
             cost, base = sizes.agg(F.sum((F.col("all") - F.col("m")) * F.col("all")), F.sum("all")).first()
             last = cost is not None and (cost <= CROSS_FACTOR * base or star == STARS)
             if last:  # what is left, exhaustively
-                outside = labelled.join(sizes, "k").where("label != big").select("k", F.col("c").alias("c0"), F.col("n").alias("n0"), F.col("label").alias("label0"), F.col("bits").alias("bits0"))
-                pairs = labelled.join(outside, "k").where(F.expr("label != label0") & close & alike)
+                both = materialise(labelled.join(bits, "c"), "open-bits")
+                outside = both.join(sizes, "k").where("label != big").select("k", F.col("c").alias("c0"), F.col("n").alias("n0"), F.col("label").alias("label0"), F.col("bits").alias("bits0"))
+                pairs = both.join(outside, "k").where(F.expr("label != label0") & close & alike)
                 links = confirm(pairs.select(*_ends()).distinct())
                 found = _merged(found, links)
+                discard(both)
             discard(sizes)
             if last or not base:
                 discard(labelled)
                 break
         # each class is compared with one centre of its buckets, that with the most alike signature
         order = F.xxhash64("c", "k", F.lit(star))
-        centre = labelled.groupBy("k").agg(F.min(F.struct(order.alias("o"), "c", "n", "label", "bits")).alias("z")).select("k", F.col("z.c").alias("c0"), F.col("z.n").alias("n0"), F.col("z.label").alias("label0"), F.col("z.bits").alias("bits0"))
-        near = labelled.join(centre, "k").where(F.expr("label != label0") & close & alike)
+        centre = labelled.groupBy("k").agg(F.min(F.struct(order.alias("o"), "c", "n", "label")).alias("z")).select("k", F.col("z.c").alias("c0"), F.col("z.n").alias("n0"), F.col("z.label").alias("label0"))
+        near = labelled.join(centre, "k").where(F.expr("label != label0") & close).select("c", "label", "c0", "label0").distinct()
+        near = near.join(bits, "c").join(bits0, "c0").where(alike)
         chosen = near.groupBy("c", "label").agg(F.min(F.struct(unlike.alias("o"), "c0", "label0")).alias("z")).select("c", "label", "z.c0", "z.label0")
         links = confirm(chosen.select(*_ends()).distinct())
         found = _merged(found, links)

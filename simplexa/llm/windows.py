@@ -41,7 +41,7 @@ _CONTEXTS = "g long, c long, n long, d long, row long, lo int, hi int"
 _PLACE, _PLACES = np.uint64(31), np.uint64((1 << 31) - 1)
 _LENGTH = np.uint64(0x9FB21C651E98DF25)
 #: Different contexts of an anchor that go to one task; symbols that a kernel takes at once, about.
-CROWD, SHARD = 4096, 1 << 23
+CROWD, SHARD = 4096, 1 << 22
 
 
 class Symbols:
