@@ -36,6 +36,8 @@ from simplexa.llm.graph import components
 from simplexa.llm.windows import numbered
 
 SHINGLE, PERCENT, PERMUTATIONS, ROWS_PER_BAND = 5, 75, 80, 4
+#: Classes (16 bytes each) whose texts are fetched by a broadcast of their rows.
+BROADCAST_ROWS = 1 << 19
 #: Permutations of the screen; the first PERMUTATIONS are those of the bands.
 SCREEN = 160
 #: Star rounds before the exhaustive one, while that one would cost more than CROSS_FACTOR rows a posting.
@@ -126,13 +128,15 @@ def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, perc
     """Label pairs (la, lb) of those distinct pairs (a, b, la, lb) whose full sets are similar enough."""
     pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = materialise(rows.join(classes.join(nodes, "c").select("c", "row"), "row").select("c", "text").mapInArrow(_full(k), "c long, full array<long>"), "sets")
+    wanted = materialise(classes.join(nodes, "c").select("c", "row"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS  # else the texts are shuffled to them
+    sets = materialise(rows.join(F.broadcast(wanted) if few else wanted, "row").select("c", "text").mapInArrow(_full(k), "c long, full array<long>"), "sets")
     left = sets.select(F.col("c").alias("a"), F.col("full").alias("x"))
     right = sets.select(F.col("c").alias("b"), F.col("full").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     both = pairs.join(left, "a").join(right, "b").select("la", "lb", shared.alias("i"), (F.size("x") + F.size("y")).alias("total"))
     links = materialise(both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("total") - F.col("i"))).select("la", "lb").distinct(), "links")
-    discard(pairs, sets)
+    discard(pairs, wanted, sets)
     return links
 
 
