@@ -84,8 +84,8 @@ def test_lines(spark, monkeypatch):
     for given in (rows, [x for x in rows[::-1] if x[0] != 3]):
         want = deduplicated(given)
         df = spark.createDataFrame([(*x, 1) for x in given], "doc_id long, text string, line int")
-        for hot, paired, partners, few in ((64, 100, 1, 64), (3, 20, 1, 2)):
-            for name, x in (("HOT", hot), ("PAIRED", paired), ("PARTNERS", partners), ("FEW", few)):
+        for hot, paired, partners, few, small in ((64, 100, 1, 64, 1 << 19), (3, 20, 1, 2, 0)):
+            for name, x in (("HOT", hot), ("PAIRED", paired), ("PARTNERS", partners), ("FEW", few), ("BROADCAST_ROWS", small)):
                 monkeypatch.setattr(lines, name, x)
             got = lines.dedup(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
             assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
