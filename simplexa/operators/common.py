@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: later reads neither recompute it nor need an executor that is gone.
+    """``df`` written to the shared checkpoint folder and read back: later reads neither recompute it nor need an executor that is gone."""
+    folder(df)
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``settle``, but as a table whose size the planner knows, so that small ones are broadcast; computed once."""
+    path = f"{folder(df).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The folder is that of spark.checkpoint.dir; a temporary one of this machine stands in on local masters only.
-    """
+
+def folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one of this machine stands in on local masters only."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="simplexa-"))
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()
