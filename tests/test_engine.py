@@ -32,7 +32,8 @@ def test_zero_vectors(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_twin(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    for table in ("embeddings", "documents"):
+        con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     df = registry.queries()[name](spark, DATA)
     want = con.sql(registry.oracle_sql()[name])
     at = [want.columns.index(c) for c in df.columns]
