@@ -8,11 +8,13 @@ missed with probability (1 - 0.75**4)**40 < 3e-7.
 
 No group is expanded into pairs: in each round a class is compared with one centre
 of its buckets (that with the most alike signature), components grow by the confirmed links, and buckets of one component
-are closed. At the end the members outside a bucket's largest component are compared
-with all of that bucket; pairs already in one component need no comparison, and a pair
-whose signatures of SCREEN permutations agree in far fewer places than at the threshold (5.5 standard deviations:
-a pair at the threshold is lost with probability below 1e-7) gets none. Links are
-confirmed on full sets.
+are closed; a pair whose signatures of SCREEN permutations agree in far fewer places than
+at the threshold (5.5 standard deviations: a pair at the threshold is lost with probability
+below 1e-7) gets no comparison in these rounds. At the end the classes that still share open
+buckets, directly or through others, form a family. Families go whole, in blocks of bounded
+size, to tasks that count the overlaps of their members' full sets by an inverted index:
+no pair is a row, and a task gives the links that join its components, fewer than its
+members. All links are confirmed on full sets.
 
 Defined results: a text without words has an empty set and no links; one with fewer
 words than five has the whole sequence as its one shingle; a null doc_id takes part
@@ -38,9 +40,11 @@ from simplexa.llm.windows import numbered
 SHINGLE, PERCENT, PERMUTATIONS, ROWS_PER_BAND = 5, 75, 80, 4
 #: Classes (16 bytes each) whose texts are fetched by a broadcast of their rows.
 BROADCAST_ROWS = 1 << 19
+#: Shingles of a block of a family, about: a task of the exhaustive round holds two blocks.
+BLOCK = 1 << 19
 #: Permutations of the screen; the first PERMUTATIONS are those of the bands.
 SCREEN = 160
-#: Star rounds before the exhaustive one, while that one would cost more than CROSS_FACTOR rows a posting.
+#: Star rounds before the exhaustive one, while that one would cost more than CROSS_FACTOR comparisons a posting.
 STARS, CROSS_FACTOR = 3, 4
 #: Bits kept of each signature value, and how far below the threshold a pair's agreement may lie to be confirmed.
 PLANES, DEVIATIONS = 4, 5.5
@@ -140,6 +144,114 @@ def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, perc
     return links
 
 
+def _least(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the links that join two components of the ones before."""
+    top: dict[int, int] = {}
+    out = []
+    for a, b in links:
+        x, y = (_root(top, z) for z in (a, b))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def _root(top: dict[int, int], x: int) -> int:
+    while (y := top.get(x, x)) != x:
+        top[x] = top.get(y, y)
+        x = y
+    return x
+
+
+def _similar(full: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Label pairs of the similar sets of different labels; members of two sides are compared with the other side only."""
+    size = np.array([len(x) for x in full])
+    owner, every = np.repeat(np.arange(len(full)), size), np.concatenate(full)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    begin = np.flatnonzero(fresh)
+    place = np.empty(len(every), np.int64)  # of each shingle of each set, in the sets' order
+    place[order] = np.cumsum(fresh) - 1
+    end = np.append(begin[1:], len(every))
+    at = np.concatenate(([0], np.cumsum(size)))
+    two = side.min() != side.max()
+    for i in range(len(full)):
+        if two and side[i] != side[0]:
+            continue
+        mine = place[at[i] : at[i + 1]]
+        lists = [owner[a:b] for a, b in zip(begin[mine].tolist(), end[mine].tolist(), strict=True) if b - a > 1]
+        if not lists:
+            continue
+        both = np.bincount(np.concatenate(lists), minlength=len(full))
+        near = (100 * both >= percent * (size[i] + size - both)) & (label != label[i])
+        near &= side != side[i] if two else np.arange(len(full)) > i
+        for j in np.flatnonzero(near).tolist():
+            yield int(label[i]), int(label[j])
+
+
+def _families(percent: int):
+    """Rows (t, side, label, full) sorted by t -> the links (la, lb) of each t that join its components."""
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(held)
+        sets = part.column("full").combine_chunks()
+        values, off = sets.values.to_numpy(), sets.offsets.to_numpy()
+        full = [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        found = _least(_similar(full, part.column("label").to_numpy(), part.column("side").to_numpy(), percent))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["la", "lb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            t = batch.column(0).to_pylist()
+            at = 0
+            while at < len(t):
+                end = at + 1
+                while end < len(t) and t[end] == t[at]:
+                    end += 1
+                if held and t[at] != now:
+                    yield links(held)
+                    held = []
+                now = t[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield links(held)
+
+    return run
+
+
+def _exhausted(labelled: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Label pairs (la, lb) that join all components similar members of open buckets (k, c, n, label) belong to."""
+    centre = labelled.groupBy("k").agg(F.min("c").alias("c0"))
+    edges = labelled.join(centre, "k").where("c != c0").select(F.col("c").alias("a"), F.col("c0").alias("b")).distinct()
+    family = materialise(components(edges).select(F.col("node").alias("c"), F.col("label").alias("f")), "families")
+    member = materialise(labelled.select("c", "n", "label").distinct().join(family, "c"), "members")
+    # a family of many shingles is cut in blocks; a task takes a block, or two against each other
+    blocks = member.groupBy("f").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    wanted = materialise(member.join(blocks, "f").select("c", "label", "f", "blocks", block.alias("x")).join(classes.select("c", "row"), "c"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS // 2  # twice as wide as in _confirm
+    sets = rows.join(F.broadcast(wanted) if few else wanted, "row").select("text", "label", "f", "blocks", "x").mapInArrow(_labelled_sets(k), "label long, f long, blocks int, x int, full array<long>")
+    dealt = sets.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.struct("f", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    dealt = dealt.select(F.xxhash64(task).alias("t"), F.col("x").alias("side"), "label", "full").repartition("t").sortWithinPartitions("t")
+    links = materialise(dealt.mapInArrow(_families(percent), "la long, lb long").distinct(), "links")
+    discard(family, member, wanted)
+    return links
+
+
+def _labelled_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.view(np.int64) for x in _sets(batch.column(0), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int64()))], names=["label", "f", "blocks", "x", "full"])
+
+    return run
+
+
 def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (node, label) after ``links`` between labels; only labels that meet another are walked."""
     step = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -178,12 +290,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
             cost, base = sizes.agg(F.sum((F.col("all") - F.col("m")) * F.col("all")), F.sum("all")).first()
             last = cost is not None and (cost <= CROSS_FACTOR * base or star == STARS)
             if last:  # what is left, exhaustively
-                both = materialise(labelled.join(bits, "c"), "open-bits")
-                outside = both.join(sizes, "k").where("label != big").select("k", F.col("c").alias("c0"), F.col("n").alias("n0"), F.col("label").alias("label0"), F.col("bits").alias("bits0"))
-                pairs = both.join(outside, "k").where(F.expr("label != label0") & close & alike)
-                links = confirm(pairs.select(*_ends()).distinct())
+                links = _exhausted(labelled, classes, rows, k, percent)
                 found = _merged(found, links)
-                discard(both)
             discard(sizes)
             if last or not base:
                 discard(labelled)

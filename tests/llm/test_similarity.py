@@ -90,3 +90,46 @@ def test_lines(spark, monkeypatch):
             got = lines.dedup(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
             assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert lines.dedup(df.limit(0)).count() == 0
+
+
+def test_family_below_threshold(spark, monkeypatch):
+    """Many documents just below the threshold of each other, a few links among them: no table of their pairs."""
+    r = random.Random(4)
+    base = [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for x in r.sample(range(5, 195, 6), 4):
+            w[x] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    for i in range(0, 20, 2):  # near copies of some, one step each
+        w = rows[i][1].split()
+        w[r.randrange(200)] = "other"
+        rows.append((1000 + i, " ".join(w)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(196)} for _, t in rows]
+    top = list(range(len(rows)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                top[root(i)] = root(j)
+    want = sorted((d, min(rows[j][0] for j in range(len(rows)) if root(j) == root(i))) for i, (d, _) in enumerate(rows))
+    sizes, write = [], minhash.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name in ("pairs", "wanted", "links"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", counted)
+    for block in (minhash.BLOCK, 4000):  # one block, and several against each other
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+        assert sorted(map(tuple, got)) == want
+    assert max(sizes) <= 2 * len(rows)
