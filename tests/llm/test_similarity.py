@@ -133,3 +133,25 @@ def test_family_below_threshold(spark, monkeypatch):
         got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
         assert sorted(map(tuple, got)) == want
     assert max(sizes) <= 2 * len(rows)
+
+
+def test_lines_alike_but_not_similar(spark, monkeypatch):
+    """Long lines just below the threshold, many partners each: listed partners decide them without a second pass; that pass gives the same."""
+    r = random.Random(6)
+    base = [f"u{i}" for i in range(100)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for x in r.sample(range(100), 9):
+            w[x] = f"t{i}x{x}"
+        rows.append((i, " ".join(w)))
+    rows += [(50, rows[3][1] + " more"), (51, "a b c\n" + " ".join(base))]
+    want, df = deduplicated(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    names, write = [], lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df, name: names.append(name) or write(df, name))
+    for spare, second in ((lines.SPARE, False), (1, True)):
+        monkeypatch.setattr(lines, "SPARE", spare)
+        names.clear()
+        got = lines.dedup(df, texts=False).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert ("line-keys" in names) == second
