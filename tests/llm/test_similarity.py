@@ -142,7 +142,7 @@ def test_lines_alike_but_not_similar(spark, monkeypatch):
     rows = []
     for i in range(40):
         w = list(base)
-        for x in r.sample(range(100), 9):
+        for x in r.sample(range(100), 10):
             w[x] = f"t{i}x{x}"
         rows.append((i, " ".join(w)))
     rows += [(50, rows[3][1] + " more"), (51, "a b c\n" + " ".join(base))]
