@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from simplexa.llm.common import by_id
+from simplexa.llm.common import by_id, kept_between_tasks, released
 
 #: Words whose ids a worker keeps; the memo is emptied when it is full.
 MEMO_WORDS = 250_000
@@ -223,10 +223,12 @@ class Encoder:
         return b"".join(ids), b" ".join(said)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept_between_tasks()
 
 
 def encoder(path: str) -> Encoder:
+    """This worker's encoder, until a task of another operator releases it."""
+    released(_encoders)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import by_id, materialise
+from simplexa.llm.common import by_id, materialise, parts, released
 
 MAX_FIT, DICT_BYTES, BLOCK, LEVEL = 1500, 112 << 10, 2048, 3
 CUTOFF = 0.3
@@ -167,9 +167,11 @@ def keeper(model: Model, column: int, cutoff: float = CUTOFF):
     """A mapInArrow function that passes the rows whose text (in ``column``) scores the cutoff or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(column).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([scorer.score(t or b"") >= cutoff for t in texts], pa.bool_()))
+            for part in parts(batch):
+                texts = part.column(column).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array([scorer.score(t or b"") >= cutoff for t in texts], pa.bool_()))
 
     return run

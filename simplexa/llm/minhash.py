@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import LOWER, WHITE, Words, discard, gram_hash, materialise, mix, text_chunks
+from simplexa.llm.common import LOWER, WHITE, Words, discard, gram_hash, materialise, mix, released, text_chunks
 from simplexa.llm.graph import components
 from simplexa.llm.windows import numbered
 
@@ -75,6 +75,7 @@ def _min_max(x: np.ndarray, mul: np.ndarray, add: np.ndarray) -> tuple[np.ndarra
 
 def _signatures(k: int, permutations: int, rows: int, screen: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         rng = np.random.Generator(np.random.PCG64(7))
         mul = rng.integers(1, 1 << 63, screen, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(1, 1 << 63, screen, dtype=np.uint64)
