@@ -155,3 +155,26 @@ def test_lines_alike_but_not_similar(spark, monkeypatch):
         got = lines.dedup(df, texts=False).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
         assert sorted(map(tuple, got)) == sorted(want)
         assert ("line-keys" in names) == second
+
+
+def test_few_pairs_of_lines_left(spark, monkeypatch):
+    """The last pairs meet the classes by broadcasts; as many joins by shuffles, where they are many, give the same."""
+    r = random.Random(9)
+    vocab = [f"f{i}" for i in range(40)]
+    rows = [(i, "\n".join(" ".join(r.sample(vocab, r.randrange(6, 16))) for _ in range(4))) for i in range(40)]
+    rows += [(100 + i, " ".join(t.split()[:-1])) for i, t in rows[:10]]
+    want, df = deduplicated(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    for name, x in (("HOT", 3), ("PAIRED", 20), ("PARTNERS", 1), ("FEW", 2)):
+        monkeypatch.setattr(lines, name, x)
+    asked, oriented = [], lines.oriented
+
+    def seen(pairs, classes, percent, few=False):
+        asked.append(few)
+        return oriented(pairs, classes, percent, few)
+
+    monkeypatch.setattr(lines, "oriented", seen)
+    for most in (lines.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lines, "BROADCAST_BYTES", most)
+        got = lines.dedup(df, texts=False).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert asked == [False, True, False, False]
