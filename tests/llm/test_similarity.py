@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 
 from simplexa.llm import lines, minhash
 
@@ -178,3 +179,33 @@ def test_few_pairs_of_lines_left(spark, monkeypatch):
         got = lines.dedup(df, texts=False).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert asked == [False, True, False, False]
+
+
+def test_keys_of_lines_are_dealt_in_bulk(spark, monkeypatch, tmp_path):
+    """The keys of one token reach their tasks as a few binaries of many, however many are dealt at once, and the result is brute force's."""
+    r = random.Random(12)
+    vocab = [f"g{i}" for i in range(400)]
+    rows = [(i, "\n".join(" ".join(r.sample(vocab, r.randrange(8, 30))) for _ in range(4))) for i in range(60)]
+    rows += [(200 - i, " ".join(t.split("\n")[1].split()[1:])) for i, t in rows[:20]] + [(None, rows[5][1]), (300, rows[7][1])]
+    want, df = deduplicated(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, told = lines._pairs, tmp_path / "rows"
+
+    def counted(*given):
+        run = pairs(*given)
+
+        def each(batches):
+            held = list(batches)
+            (told / uuid.uuid4().hex).write_text(str(sum(x.num_rows for x in held)))
+            return run(iter(held))
+
+        return each
+
+    monkeypatch.setattr(lines, "_pairs", counted)
+    told.mkdir()
+    for at_once, most in ((lines.DEALT, 2 * 4 * 4), (50, 2 * 4 * 120)):  # slices, tasks, and parts from each
+        monkeypatch.setattr(lines, "DEALT", at_once)
+        got = lines.dedup(df, texts=False).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        assert 0 < sum(int(x.read_text()) for x in told.iterdir()) <= most
+        for x in told.iterdir():
+            x.unlink()
