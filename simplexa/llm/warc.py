@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import checkpoint_dir, materialise
+from simplexa.llm.common import checkpoint_dir, materialise, parts, small_batches
 
 ARCHIVE_BYTES = 16 << 20
 STEP = 4096
@@ -123,29 +123,35 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
 
 
 def _writer(folder: str, archive_bytes: int):
+    def listed(name: str, records: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([records], pa.int64())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        held: list[bytes] = []
-        size = 0
-
-        def roll() -> pa.RecordBatch:
-            name = f"{uuid.uuid4().hex}.warc.gz"
-            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
-                for x in held:
-                    f.write(x)
-            return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(held)], pa.int64())})
-
-        for batch in batches:
-            for page_id, url, payload, digest, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                member = pack(record(page_id or "", url or "", kind, len(payload), digest, refers, payload))
-                if held and size + len(member) > archive_bytes:
-                    yield roll()
-                    held, size = [], 0
-                held.append(member)
-                size += len(member)
-        if held:
-            yield roll()
+        out, name, records, size = None, "", 0, 0
+        try:
+            for batch in batches:
+                for part in parts(batch, 100):  # members go to the stream as they come: a task holds few pages, not an archive
+                    for page_id, url, payload, digest, kind, refers in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        member = pack(record(page_id or "", url or "", kind, len(payload), digest, refers, payload))
+                        if out is not None and size + len(member) > archive_bytes:
+                            out.close()
+                            out = None
+                            yield listed(name, records)
+                        if out is None:
+                            name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                            out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                        out.write(member)
+                        records += 1
+                        size += len(member)
+            if out is not None:
+                out.close()
+                out = None
+                yield listed(name, records)
+        finally:
+            if out is not None:
+                out.close()
 
     return run
 
@@ -198,7 +204,8 @@ def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYT
     out = both.select(
         F.col("page_id").cast("string"), "url", "payload", F.col("sha").alias("digest"), F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first").cast("string")).alias("refers")
     )
-    return folder, materialise(out.mapInArrow(_hexed(_writer(folder, archive_bytes)), "archive string, records long"), "warc-list")
+    with small_batches(pages.sparkSession, 500):
+        return folder, materialise(out.mapInArrow(_hexed(_writer(folder, archive_bytes)), "archive string, records long"), "warc-list")
 
 
 def _hexed(inner):

@@ -1,6 +1,9 @@
 import base64
 import hashlib
+import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +47,32 @@ def test_long_header_and_count(spark):
     assert warc.read(folder, archives, whole=True).count() == 2
     with pytest.raises(Exception, match="records read"):
         warc.read(folder, archives.withColumn("records", F.col("records") + 1), whole=True).collect()
+
+
+def test_writer_holds_few_pages(tmp_path):
+    pick = random.Random(7)
+    payloads = [pick.randbytes(8192) for _ in range(3000)]
+    columns = {
+        "page_id": pa.array([str(i) for i in range(3000)]),
+        "url": pa.array(["u"] * 3000),
+        "payload": pa.array(payloads, pa.binary()),
+        "digest": pa.array([hashlib.sha1(x).hexdigest() for x in payloads]),
+        "kind": pa.array(["response"] * 3000),
+        "refers": pa.array([None] * 3000, pa.string()),
+    }
+    batch = pa.RecordBatch.from_pydict(columns)
+    tracemalloc.start()
+    try:
+        listed = [row for b in warc._hexed(warc._writer(tmp_path.as_uri(), 10 << 20))(iter([batch])) for row in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6 << 20  # of 24 MB of pages and archives of 10 MB
+    assert sum(x["records"] for x in listed) == 3000 and len(listed) == 3
+    at = 0
+    for x in listed:
+        data = (tmp_path / x["archive"]).read_bytes()
+        assert len(data) <= 10 << 20
+        found = [head["payload"] for _, _, head, _ in warc.salvage(data)]
+        assert found == payloads[at : at + x["records"]]
+        at += x["records"]
