@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -18,7 +19,24 @@ def written(df: DataFrame) -> DataFrame:
     """As ``settle``, but as a table whose size the planner knows, so that small ones are broadcast; computed once."""
     path = f"{folder(df).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    atexit.register(_delete, out.sparkSession, path)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` from which nothing is still to be read; others go when the driver ends."""
+    for x in tables:
+        _delete(x.sparkSession, x.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    except Exception:  # the session may be gone by then; the folder is the cluster's to clean
+        return
 
 
 def folder(df: DataFrame) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplexa.operators.common import settle
+from simplexa.operators.common import dropped, written
 
 
 def _either(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -96,15 +96,22 @@ def mutual(edges: DataFrame) -> DataFrame:
 def components(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that a point can reach, by hooking to the least neighbour and halving paths.
 
-    Each round is checkpointed to the session's checkpoint folder, so a lost executor costs a round.
+    A point hooks itself and its component so far, so rounds grow with the logarithm of the longest
+    chain. Each round is written to the session's checkpoint folder: a lost executor costs a round,
+    and the planner sees the size of what is there. (A checkpoint keeps the size estimated for its
+    plan, which each round's joins would square.)
     """
-    both = settle(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
-    now = settle(points.select("id", F.col("id").alias("component")))
+    both = written(edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).where("i != j").distinct())
+    now = written(points.select("id", F.col("id").alias("component")))
     while True:
-        reach = both.join(now.select(F.col("id").alias("j"), "component"), "j").groupBy("i").agg(F.min("component").alias("near"))
-        step = now.join(reach.withColumnRenamed("i", "id"), "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
+        reach = both.join(now.select(F.col("id").alias("j"), "component"), "j").groupBy(F.col("i").alias("id")).agg(F.min("component").alias("near"))
+        step = now.join(reach, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("near"))
+        hook = step.groupBy(F.col("was").alias("id")).agg(F.min("near").alias("hook"))
+        step = written(step.join(hook, "id", "left").select("id", F.least("near", F.coalesce("hook", "near")).alias("component"), "was"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        after = settle(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("to", "component")).alias("component"), "was"))
+        after = written(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("to", "component")).alias("component"), "was"))
+        dropped(now, step)
+        now = after
         if after.where("component != was").isEmpty():
+            dropped(both)
             return after.select("id", "component")
-        now = after.select("id", "component")

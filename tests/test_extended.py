@@ -93,6 +93,22 @@ def test_graph_edges(spark):
     assert graph.far_distance(1.0) == 1e12 and graph.far_distance(0.5) == 5.0
 
 
+def test_components_of_a_chain(spark):
+    """A chain of ids in no order takes few rounds; tables of earlier rounds go."""
+    order = np.random.default_rng(3).permutation(300).tolist()
+    points = spark.createDataFrame([(i,) for i in range(300)], "id long")
+    edges = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "i long, j long")
+    rounds, was = [], graph.written
+    graph.written = lambda df: rounds.append(was(df)) or rounds[-1]
+    try:
+        got = graph.components(points, edges)
+    finally:
+        graph.written = was
+    assert {r.component for r in got.collect()} == {0} and len(rounds) <= 24
+    gone = [x for x in rounds if not spark._jvm.java.io.File(x.scratch_path.removeprefix("file:")).exists()]
+    assert len(gone) == len(rounds) - 1
+
+
 def test_sparse_edges(spark):
     x = spark.createDataFrame([(1, 0, 2.0), (1, 3, 1.0), (2, 3, 1.0)], "id long, idx int, val double")
     pairs = spark.createDataFrame([(1, 2), (1, 9), (8, 9)], "i long, j long")
