@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from simplexa.functions.distances import distance
+from simplexa.operators import blocks, neighbors
+from simplexa.operators.common import written
 
 
 def neighbor_overlap(high: DataFrame, low: DataFrame, k: int) -> DataFrame:
@@ -93,15 +97,74 @@ def density_preservation(high: DataFrame, low: DataFrame, k: int) -> DataFrame:
     return of(high, "a").join(of(low, "b"), "i").agg(F.when(r.isNull() | F.isnan(r), 1.0).otherwise(F.greatest(r, F.lit(0.0))).alias("score"))
 
 
-def rank_trustworthiness(pairs: DataFrame, most: int) -> DataFrame:
-    """(k, score) for k = 1..most: neighbours in the embedding pay by how far beyond k they rank in the source."""
-    each = pairs.select("i", "j", "a", "b").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "a", "b"))
-    rank = lambda c: F.row_number().over(Window.partitionBy("i").orderBy(c, "j"))
-    near = each.withColumn("source", rank("a")).withColumn("place", rank("b")).where(F.col("place") <= most)
-    sized = near.crossJoin(F.broadcast(each.agg(F.count_distinct("i").alias("n"))))  # one row
-    paid = sized.select("n", "source", F.explode(F.sequence(F.col("place"), F.lit(most))).alias("k"))
-    made = paid.groupBy("k").agg(F.sum(F.greatest(F.col("source") - F.col("k"), F.lit(0))).alias("paid"), F.first("n").alias("n"))
-    return made.select(F.col("k").cast("long").alias("k"), (1 - F.col("paid") * 2 / (F.col("n") * F.col("k") * (2 * F.col("n") - 3 * F.col("k") - 1))).alias("score"))
+def rank_trustworthiness(high: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """(k, score) for k = 1..most: neighbours in the embedding ``low`` pay by how far beyond k they rank in the source ``high`` (id, features).
+
+    A neighbour's rank is counted against all points, block by block; no table of pairs or ranks is made.
+    """
+    both = written(high.select("id", "features").join(low.select("id", F.col("features").alias("y")), "id").where("features is not null and y is not null"))
+    x, edges = both.select("id", "features"), neighbors.knn(both.select("id", F.col("y").alias("features")), most)
+    near = edges.groupBy(F.col("i").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "j"))).alias("l"))
+    pad = F.expr(f"concat(transform(l, e -> e.j), array_repeat(-1L, {most} - size(l)))").alias("near")
+    left = written(x.join(near.select("id", pad), "id"))
+    n, rows = blocks.count(x)
+    far = blocks.crossed(left, x, n, n, rows, _given_pairs, _gathered_pairs, "id long, far array<double>")
+    left = left.join(far, "id").select("id", "features", "near", "far")
+    paid = blocks.crossed(left, x, n, n, rows, _below, _paid(most), "k long, paid long").groupBy("k").agg(F.sum("paid").alias("paid"))
+    score = 1 - F.col("paid") * 2 / (F.lit(rows) * F.col("k") * (2 * F.lit(rows) - 3 * F.col("k") - 1))
+    return paid.select("k", score.alias("score"))
+
+
+def _given_pairs(left: blocks.Side, right: blocks.Side) -> tuple[blocks.Side, blocks.Side]:
+    """Distances of the pairs (id, near) whose second point is a right one."""
+    near, there = left["near"], right["id"]
+    at = np.minimum(np.searchsorted(there, near), len(there) - 1)
+    row, col = np.nonzero(there[at] == near)
+    far = np.full(near.shape, np.inf)
+    far[row, col] = neighbors.measure("euclidean", left["features"], right["features"])(row, at[row, col])
+    return {"far": far}, {}
+
+
+def _gathered_pairs(ids: np.ndarray, found: list[blocks.Side]) -> dict:
+    far = np.minimum.reduce([f[0] for f in found])
+    return {"id": ids, "far": pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * far.shape[1], far.ravel())}
+
+
+def _below(left: blocks.Side, right: blocks.Side) -> tuple[blocks.Side, blocks.Side]:
+    """How many right points come before each of a left point's neighbours, by distance and id; what the screen leaves open is measured."""
+    x, y, near, far, other = left["features"], right["features"], left["near"], left["far"], right["id"]
+    screen, measure = neighbors.Products(x, y, "euclidean"), neighbors.measure("euclidean", x, y)
+    own = np.minimum(np.searchsorted(other, left["id"]), len(other) - 1)
+    own = np.where(other[own] == left["id"], own, -1)
+    out = np.zeros(near.shape, np.int64)
+    for r in range(0, len(x), screen.rows):
+        rows = slice(r, r + screen.rows)
+        for c in range(0, len(y), screen.columns):
+            s = screen.tile(rows, slice(c, c + screen.columns))
+            mine = np.flatnonzero((own[rows] >= c) & (own[rows] < c + len(s)))
+            s[own[rows][mine] - c, mine] = np.inf
+            for t in range(near.shape[1]):
+                most = far[rows, t]
+                surely, open_ = s < screen.limit(most, rows, below=True), s <= screen.limit(most, rows)
+                for at in range(0, len(s), 64):  # so few that a byte holds the count
+                    out[rows, t] += np.add.reduce(surely[at : at + 64].view(np.int8), axis=0, dtype=np.int8)
+                col, row = np.divmod(neighbors.hits(open_ ^ surely), s.shape[1])
+                if len(row):
+                    d = measure(row + r, col + c)
+                    less = (d < most[row]) | ((d == most[row]) & (other[col + c] < near[rows, t][row]))
+                    np.add.at(out[rows, t], row[less], 1)
+    return {"near": near, "below": out}, {}
+
+
+def _paid(most: int):
+    """(k, paid) of a slice."""
+
+    def run(ids: np.ndarray, found: list[blocks.Side]) -> dict[str, np.ndarray]:
+        source, there = 1 + sum(f[1] for f in found), found[0][0] >= 0
+        k = np.arange(1, most + 1)
+        return {"k": k, "paid": np.array([np.where(there[:, :n], np.maximum(source[:, :n] - n, 0), 0).sum() for n in k])}
+
+    return run
 
 
 def penalised_overlap(high: DataFrame, low: DataFrame, k: int) -> DataFrame:
@@ -168,13 +231,58 @@ def separation(points: DataFrame) -> DataFrame:
     return score.crossJoin(worst.agg(F.avg("w").alias("davies_bouldin")))  # a row each
 
 
-def silhouette(pairs: DataFrame, labels: DataFrame, column: str = "b") -> DataFrame:
-    """One row, ``score``: mean silhouette of labels (id, label) by the distance ``column`` of (i, j, a, b); points alone in their group count 0."""
-    each = pairs.select("i", "j", F.col(column).alias("d")).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col(column).alias("d")))
-    own = labels.select(F.col("id").alias("i"), F.col("label").alias("li"))
-    to = each.join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j").groupBy("i", "lj").agg(F.avg("d").alias("d"))
-    made = to.join(own, "i").groupBy("i").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("own"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("next"))
-    return made.agg(F.avg(F.coalesce(F.expr("(next - own) / nullif(greatest(own, next), 0D)"), F.lit(0.0))).alias("score"))
+def silhouette(points: DataFrame) -> DataFrame:
+    """One row, ``score``: mean silhouette of (id, features, label); points alone in their group or without a label count 0.
+
+    Each pair of blocks sums its distances by label; what is shuffled is the points times the labels.
+    """
+    kind = F.col("label").cast("long") if isinstance(points.schema["label"].dataType, IntegralType) else F.xxhash64("label")
+    left = points.select("id", "features", F.coalesce(kind, F.lit(0)).alias("kind"), F.when(F.col("label").isNull(), 0).otherwise(1).cast("long").alias("known"))
+    right = left.where("known = 1").select("id", "features", "kind")
+    a, rows = blocks.count(left)
+    made = blocks.crossed(left, right, a, blocks.count(right)[0], rows, _label_sums, _silhouettes, "s double, n long") if rows > 1 else points.selectExpr("0D as s", "0L as n").limit(0)
+    # points that meet no labelled one have no row
+    return made.agg(F.when(F.lit(rows) > 1, F.coalesce(F.sum("s"), F.lit(0.0)) / F.lit(max(rows, 1))).alias("score"))
+
+
+def _label_sums(left: blocks.Side, right: blocks.Side) -> tuple[blocks.Side, blocks.Side]:
+    """Sums of each left point's distances to the right points of every label; close ones, for which a product lacks digits, are measured."""
+    order = np.argsort(right["kind"], kind="stable")
+    kinds, start, size = np.unique(right["kind"][order], return_index=True, return_counts=True)
+    x, y = left["features"], right["features"][order]
+    measure = neighbors.measure("euclidean", x, y)
+    centre = y.mean(0)
+    u, v = x - centre, y - centre
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    out = np.zeros((len(x), len(kinds)))
+    for r in range(0, len(x), 256):
+        for c in range(0, len(y), 2048):
+            norms = uu[r : r + 256, None] + vv[None, c : c + 2048]
+            d = norms - 2 * (u[r : r + 256] @ v[c : c + 2048].T)
+            row, col = np.divmod(neighbors.hits(d <= 1e-4 * norms), d.shape[1])
+            np.sqrt(np.maximum(d, 0, out=d), out=d)
+            d[row, col] = measure(row + r, col + c)
+            first = np.searchsorted(start, c, "right") - 1
+            cuts = np.maximum(start[first : np.searchsorted(start, c + d.shape[1])] - c, 0)
+            out[r : r + 256, first : first + len(cuts)] += np.add.reduceat(d, cuts, axis=1)
+    return {"kind": left["kind"], "known": left["known"], "sums": out}, {"kinds": kinds, "sizes": size}
+
+
+def _silhouettes(ids: np.ndarray, found: list[blocks.Side]) -> dict[str, np.ndarray]:
+    kind, known = found[0][0], found[0][1]
+    kinds = np.unique(np.concatenate([f[3] for f in found]))
+    sums, sizes = np.zeros((len(ids), len(kinds))), np.zeros(len(kinds), np.int64)
+    for f in found:
+        at = np.searchsorted(kinds, f[3])
+        sums[:, at] += f[2]
+        sizes[at] += f[4]
+    mine = (kinds[None] == kind[:, None]) & (known[:, None] == 1)
+    many = sizes[None] - mine
+    mean = np.where(many > 0, sums / np.maximum(many, 1), np.inf)
+    own, other = np.where(mine, mean, np.inf).min(1), np.where(mine, np.inf, mean).min(1)
+    fine = np.isfinite(own) & np.isfinite(other) & (np.maximum(own, other) > 0)
+    own, other = own[fine], other[fine]
+    return {"s": np.array([((other - own) / np.maximum(own, other)).sum()]), "n": np.array([len(ids)])}
 
 
 def reconstruction(high: DataFrame, low: DataFrame) -> DataFrame:

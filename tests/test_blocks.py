@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from simplexa.operators import blocks, neighbors
+from simplexa.operators import blocks, neighbors, quality
 
 
 def _clouds(width):
@@ -24,7 +24,7 @@ def test_top(metric, width):
     for x, y in _clouds(width):
         ids, other = np.arange(len(x)) + 3, np.random.default_rng(0).permutation(len(y))
         near, dist = neighbors._top(x, y, ids, other, 6, metric)
-        measure = neighbors._measure(metric, x, y)
+        measure = neighbors.measure(metric, x, y)
         for r in range(0, len(x), 7):
             d = measure(np.full(len(y), r), np.arange(len(y)))
             d[other == ids[r]] = np.inf
@@ -45,3 +45,50 @@ def test_bytes():
     for a in (np.array([0.1, 0.2]), np.array([[0.5], [3e300]]), np.arange(4.0).reshape(2, 2), np.array([3, -1])):
         b = blocks.from_bytes(blocks.to_bytes(a), len(a))
         assert b.dtype == a.dtype and b.shape == a.shape and (a == b).all()
+
+
+@pytest.mark.parametrize("width", [1, 2, 33])
+def test_below(width):
+    for x, y in _clouds(width):
+        other = np.random.default_rng(1).permutation(len(y))
+        order = np.argsort(other)
+        y, other = y[order], other[order]
+        near = np.random.default_rng(2).integers(0, len(y), (len(x), 3))
+        left, right = {"id": np.arange(len(x)) + 3, "features": x, "near": near}, {"id": other, "features": y}
+        left["far"] = quality._given_pairs(left, right)[0]["far"]
+        measure = neighbors.measure("euclidean", x, y)
+        got = quality._below(left, right)[0]["below"]
+        for r in range(0, len(x), 7):
+            d = measure(np.full(len(y), r), np.arange(len(y)))
+            for t in range(3):
+                before = (d < d[near[r, t]]) | ((d == d[near[r, t]]) & (other < near[r, t]))
+                assert got[r, t] == (before & (other != left["id"][r])).sum()
+
+
+def test_label_sums():
+    for x, y in _clouds(3):
+        kind = np.random.default_rng(0).integers(-2, 40, len(y))
+        left, right = {"features": x, "kind": kind, "known": kind}, {"features": y, "kind": kind}
+        each, whole = quality._label_sums(left, right)
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        assert whole["sizes"].sum() == len(y)
+        for n, kind_ in enumerate(whole["kinds"]):
+            assert each["sums"][:, n] == pytest.approx(d[:, kind == kind_].sum(1), rel=1e-9)
+
+
+def test_no_table_of_pairs(spark):
+    """Neither ranks nor silhouettes nor given distances may make a row for each pair."""
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(i, rng.normal(size=3).tolist(), int(i % 4) or None) for i in range(500)], "id long, features array<double>, label int")
+    assert neighbors.distances(points, 4).count() == 500 * 4
+    x = np.array([r.features for r in points.orderBy("id").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    label, s = np.arange(500) % 4, 0.0
+    for i in range(500):
+        mean = {g: d[i, label == g].sum() / ((label == g).sum() - (g == label[i])) for g in (1, 2, 3)}
+        if label[i]:
+            own = mean.pop(label[i])
+            s += (min(mean.values()) - own) / max(own, min(mean.values()))
+    assert quality.silhouette(points).first()["score"] == pytest.approx(s / 500)
+    assert quality.silhouette(points.limit(1)).first()["score"] is None
+    assert quality.rank_trustworthiness(points, points.selectExpr("id", "slice(features, 1, 1) as features"), 5).count() == 5
