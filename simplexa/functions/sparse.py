@@ -7,9 +7,19 @@ features. Two vectors without entries have distance 0; null values count as abse
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simplexa.operators import blocks
+
+#: Entries of a block of vectors, and pairs that leave it at a time.
+ENTRIES, ROWS = 1 << 19, 1 << 15
+
 #: Sums over the entries (u, v) of a pair.
 SUMS = {
     "l1": "sum(abs(u - v))",
@@ -91,11 +101,69 @@ def index_sets(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def pairwise(x: DataFrame, y: DataFrame, metric: str, n: int) -> DataFrame:
-    """(i, j, d) of every vector of ``x`` with every one of ``y``; the pairs are asked for, so all are made."""
+    """(i, j, d) of every vector of ``x`` with every one of ``y``; the pairs are asked for, so all are made.
+
+    Blocks of entries meet blocks of entries, and what a pair needs is summed there: no entry of a pair is a row.
+    """
     if metric not in ("euclidean", "sqeuclidean", "cosine", "manhattan", "jaccard_positive"):
         raise ValueError(f"unknown metric {metric!r}")
-    pairs = x.select(F.col("id").alias("i")).distinct().join(y.select(F.col("id").alias("j")).distinct(), F.lit(True))
-    return distances(pairs, x, y, metric, n)
+    x, y = (v.where("id is not null").selectExpr("id", "coalesce(cast(idx as long), -1) as idx", "coalesce(cast(val as double), 0D) as val") for v in (x, y))
+    a, b = (max(1, math.ceil(v.count() / ENTRIES)) for v in (x, y))
+    a = a if a * b >= blocks.BLOCKS else math.ceil(blocks.BLOCKS / b)
+    return blocks.met(x, y, a, b, _pairs(metric), "i long, j long, d double")
+
+
+def _vectors(side: blocks.Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first entry of each, idx, val); entries of one place are summed."""
+    order = np.lexsort((side["idx"], side["id"]))
+    ids, idx, val = side["id"][order], side["idx"][order], side["val"][order]
+    new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (idx[1:] != idx[:-1]))))
+    ids, idx, val = ids[new], idx[new], np.add.reduceat(val, new)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[first], first, idx, val
+
+
+def _pairs(metric: str):
+    def run(_: int, left: blocks.Side, right: blocks.Side) -> Iterator[pa.RecordBatch]:
+        ids, first, idx, u = _vectors(left)
+        others, start, places, w = _vectors(right)
+        known, column = np.unique(places, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, idx), len(known) - 1)
+        at = np.where(known[at] == idx, at, len(known))  # the last place is always 0
+        uu, up = np.add.reduceat(u * u, first), np.add.reduceat((u > 0).astype(float), first)
+        dense, waiting, many = np.zeros(len(known) + 1), [], 0
+        for j, begin, end in zip(others, start, [*start[1:], len(w)], strict=True):
+            dense[column[begin:end]] = w[begin:end]
+            v, each = w[begin:end], dense[at]
+            total = lambda f: np.add.reduceat(f, first)
+            if metric == "cosine":
+                vv, uv = (v * v).sum(), total(u * each)
+                root = np.sqrt(uu * vv)
+                d = np.where((uu == 0) & (vv == 0), 0.0, np.where((uu == 0) | (vv == 0), 1.0, 1 - uv / np.where(root > 0, root, 1)))
+            elif metric == "manhattan":
+                d = np.maximum(total(np.abs(u - each) - np.abs(each)) + np.abs(v).sum(), 0)
+            elif metric == "jaccard_positive":
+                both = total(((u > 0) & (each > 0)).astype(float))
+                either = up + (v > 0).sum() - both
+                d = np.where(either > 0, 1 - both / np.where(either > 0, either, 1), 0.0)
+            else:
+                d = np.maximum(total((u - each) ** 2 - each * each) + (v * v).sum(), 0)
+                d = np.sqrt(d) if metric == "euclidean" else d
+            dense[column[begin:end]] = 0
+            for n in range(0, len(ids), ROWS):
+                waiting.append((ids[n : n + ROWS], np.full(len(ids[n : n + ROWS]), j), d[n : n + ROWS]))
+                many += len(waiting[-1][0])
+                if many >= ROWS:
+                    yield _batch(waiting)
+                    waiting, many = [], 0
+        if many:
+            yield _batch(waiting)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(dict(zip("ijd", map(np.concatenate, zip(*rows, strict=True)), strict=True)))
 
 
 def sparsity(points: DataFrame) -> DataFrame:

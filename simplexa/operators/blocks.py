@@ -67,7 +67,7 @@ def _row(number: int, size: int, arrays: list[np.ndarray], name: str) -> pa.Reco
 
 
 def packed(points: DataFrame, blocks: int) -> DataFrame:
-    """(block, size, parts) of (id, features, ...), all columns numbers or arrays of numbers of one length; points without features go."""
+    """(block, size, parts) of (id, ...), all columns numbers or arrays of numbers of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,11 +80,11 @@ def packed(points: DataFrame, blocks: int) -> DataFrame:
                 if len(at):
                     yield _row(n, len(at), [c[at] for c in columns], "block")
 
-    return points.where("features is not null").mapInArrow(run, PACKED)
+    return points.mapInArrow(run, PACKED)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], names: Callable[[int], list[str]]) -> dict[int, Side]:
-    """What lies in the rows of one partition, by task; points in the order of their ids."""
+    """What lies in the rows of one partition, by task; in the order of the ids."""
     held: dict[int, list[list[np.ndarray]]] = {}
     for b in batches:
         for task, size, parts in zip(b.column("task").to_pylist(), b.column("size").to_pylist(), b.column("parts"), strict=True):
@@ -97,14 +97,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], names: Callable[[int], list[str
     return found
 
 
-def crossed(left: DataFrame, right: DataFrame, a: int, b: int, rows: int, kernel: Callable[[Side, Side], tuple[Side, Side]], merge: Callable[[np.ndarray, list[Side]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """What ``merge`` makes of the results of ``kernel`` for each slice of left points.
-
-    ``a`` and ``b`` are the blocks of both sides, ``rows`` is about how many left points there are. ``kernel`` gets both
-    blocks' columns and returns arrays with a row for each left point, and whole arrays; ``merge`` gets the ids of a
-    slice and these arrays of every right block, and returns columns of the result.
-    """
-    slices = max(1, math.ceil(rows / a / SLICE_ROWS))
+def met(left: DataFrame, right: DataFrame, a: int, b: int, kernel: Callable[[int, Side, Side], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``kernel`` yields for the columns of each of ``a`` left and each of ``b`` right blocks; its number is left * b + right."""
     names = (left.columns, right.columns)
 
     def dealt(side: DataFrame, blocks: int, other: int, base: int, step: int, own: int) -> DataFrame:
@@ -119,12 +113,27 @@ def crossed(left: DataFrame, right: DataFrame, a: int, b: int, rows: int, kernel
                 sides[n].append(batch.filter(pa.array(own == n)))
         lefts, rights = (_gathered(iter(side), lambda _, n=n: names[n]) for n, side in enumerate(sides))
         for task in sorted(set(lefts) & set(rights)):
-            x = lefts.pop(task)
-            each, whole = kernel(x, rights.pop(task))
-            step = math.ceil(len(x["id"]) / slices)
-            for s, at in enumerate(range(0, len(x["id"]), step)):
-                part = slice(at, at + step)
-                yield _row(task // b * slices + s, len(x["id"][part]), [x["id"][part], *(v[part] for v in each.values()), *(np.asarray(v) for v in whole.values())], "task")
+            yield from kernel(task, lefts.pop(task), rights.pop(task))
+
+    both = dealt(left, a, b, b, 1, 0).unionByName(dealt(right, b, a, 1, b, 1))
+    return both.repartitionById(a * b, "task").mapInArrow(against, schema)
+
+
+def crossed(left: DataFrame, right: DataFrame, a: int, b: int, rows: int, kernel: Callable[[Side, Side], tuple[Side, Side]], merge: Callable[[np.ndarray, list[Side]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """What ``merge`` makes of the results of ``kernel`` for each slice of left points; points without features go.
+
+    ``a`` and ``b`` are the blocks of both sides, ``rows`` is about how many left points there are. ``kernel`` gets both
+    blocks' columns and returns arrays with a row for each left point, and whole arrays; ``merge`` gets the ids of a
+    slice and these arrays of every right block, and returns columns of the result.
+    """
+    slices = max(1, math.ceil(rows / a / SLICE_ROWS))
+
+    def sliced(task: int, x: Side, y: Side) -> Iterator[pa.RecordBatch]:
+        each, whole = kernel(x, y)
+        step = math.ceil(len(x["id"]) / slices)
+        for s, at in enumerate(range(0, len(x["id"]), step)):
+            part = slice(at, at + step)
+            yield _row(task // b * slices + s, len(x["id"][part]), [x["id"][part], *(v[part] for v in each.values()), *(np.asarray(v) for v in whole.values())], "task")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -138,6 +147,5 @@ def crossed(left: DataFrame, right: DataFrame, a: int, b: int, rows: int, kernel
             for at in range(0, size, 1 << 15):
                 yield pa.RecordBatch.from_pydict({k: v[at : at + (1 << 15)] for k, v in made.items()})
 
-    both = dealt(left, a, b, b, 1, 0).unionByName(dealt(right, b, a, 1, b, 1))
-    near = both.repartitionById(a * b, "task").mapInArrow(against, DEALT)
+    near = met(*(side.where("features is not null") for side in (left, right)), a, b, sliced, DEALT)
     return near.repartitionById(a * slices, "task").mapInArrow(merged, schema)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from simplexa.functions import sparse
 from simplexa.operators import blocks, neighbors, quality
 
 
@@ -92,3 +93,18 @@ def test_no_table_of_pairs(spark):
     assert quality.silhouette(points).first()["score"] == pytest.approx(s / 500)
     assert quality.silhouette(points.limit(1)).first()["score"] is None
     assert quality.rank_trustworthiness(points, points.selectExpr("id", "slice(features, 1, 1) as features"), 5).count() == 5
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "cosine", "manhattan", "jaccard_positive"])
+def test_pairwise(spark, metric, monkeypatch):
+    """As by the sums over joined entries; several blocks, absent places, entries of one place, nulls and zeros."""
+    monkeypatch.setattr(sparse, "ENTRIES", 40)
+    rng = np.random.default_rng(9)
+    rows = lambda n: [(int(i), int(k), float(v)) for i in range(n) for k, v in zip(rng.choice(30, 4, replace=False), rng.choice([-1.5, 0.25, 2.0], 4), strict=True)]
+    x, y = rows(25) + [(30, 4, 0.0), (31, 900, 1.0), (32, 3, None), (5, 29, 1.0), (5, 29, 0.5)], rows(12) + [(40, 7, 0.0)]
+    x, y = (spark.createDataFrame(v, "id long, idx int, val double") for v in (x, y))
+    made = sparse.pairwise(x, y, metric, 1000)
+    pairs = x.select("id").distinct().toDF("i").crossJoin(y.select("id").distinct().toDF("j"))
+    want = {(r.i, r.j): r.d for r in sparse.distances(pairs, x, y, metric, 1000).collect()}
+    assert {(r.i, r.j): r.d for r in made.collect()} == pytest.approx(want, abs=1e-12)
+    assert "idx" not in made.columns and "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
