@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +86,30 @@ def pca(points: DataFrame, k: int = 2) -> PCA:
 
 def local_dimension(points: DataFrame, edges: DataFrame, share: float = 0.8) -> DataFrame:
     """(i, dims): how many components of a point's neighbours reach more than ``share`` of their variance."""
+    near = edges.select("i", "j").join(points.select(F.col("id").alias("j"), "features"), "j")
+    lists = near.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "features"))).alias("l"))
+    return lists.selectExpr("i", "size(l) as size", "transform(l, e -> e.features) as x").mapInArrow(_dimensions(share), "i long, dims long")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["features"]).astype(float)
-        values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
-        cumulative = np.cumsum(values) / values.sum() if values.sum() > 0 else np.ones(len(values))
-        return pd.DataFrame({"i": [rows["i"].iloc[0]], "dims": [int(np.argmax(cumulative > share)) + 1 if (cumulative > share).any() else len(values)]})
 
-    near = edges.select("i", "j").join(points.select(F.col("id").alias("j"), "features"), "j")
-    return near.groupBy("i").applyInPandas(run, "i long, dims long")
+def _dimensions(share: float):
+    """A batch of points at a time; those of as many neighbours are decomposed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("size").to_numpy()
+            if not len(size):
+                continue
+            x = b.column("x").flatten().flatten().to_numpy(zero_copy_only=False).reshape(size.sum(), -1)
+            start, dims = np.cumsum(size) - size, np.empty(len(size), np.int64)
+            for n in np.unique(size):
+                alike = np.flatnonzero(size == n)
+                for at in range(0, len(alike), 256):
+                    part = alike[at : at + 256]
+                    y = x[start[part][:, None] + np.arange(n)].astype(float)
+                    values = np.linalg.svd(y - y.mean(1, keepdims=True), compute_uv=False) ** 2
+                    total = values.sum(1, keepdims=True)
+                    over = np.where(total > 0, np.cumsum(values, axis=1) / np.where(total > 0, total, 1), 1.0) > share
+                    dims[part] = np.where(over.any(1), over.argmax(1) + 1, values.shape[1])
+            yield pa.RecordBatch.from_pydict({"i": b.column("i"), "dims": dims})
+
+    return run

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from simplexa.functions import sparse
-from simplexa.operators import blocks, neighbors, quality
+from simplexa.operators import blocks, linear, neighbors, quality
 
 
 def _clouds(width):
@@ -108,3 +108,18 @@ def test_pairwise(spark, metric, monkeypatch):
     want = {(r.i, r.j): r.d for r in sparse.distances(pairs, x, y, metric, 1000).collect()}
     assert {(r.i, r.j): r.d for r in made.collect()} == pytest.approx(want, abs=1e-12)
     assert "idx" not in made.columns and "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_local_dimension(spark):
+    """By each point's own decomposition; lists of several lengths, neighbours alike, and no call of Python for each point."""
+    x = np.random.default_rng(11).normal(size=(40, 6)) * [9, 5, 2, 1, 1, 0.1]
+    x[30:] = x[30]
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    lists = {0: [1], 1: [2, 3], 2: [5, 6, 7, 8, 9], 3: list(range(10, 30)), 4: [30, 31, 32], 5: [7, 30]}
+    edges = spark.createDataFrame([(i, j) for i, l in lists.items() for j in l], "i long, j long")
+    made = linear.local_dimension(points, edges)
+    for r in made.collect():
+        y = x[lists[r.i]]
+        values = np.linalg.svd(y - y.mean(0), compute_uv=False) ** 2
+        assert r.dims == (int(np.argmax(np.cumsum(values) / values.sum() > 0.8)) + 1 if values.sum() > 0 else 1)
+    assert made.count() == len(lists) and "FlatMapGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
